@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _name in ("q10_packing",):
+for _name in ("q03_warc", "q04_media", "q09_sharding", "q10_packing"):
     _module = importlib.import_module(f"lodestone.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
