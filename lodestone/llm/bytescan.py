@@ -25,6 +25,9 @@ _folded[65:91] = _values[97:123]
 #: 0x20 and 0x09 to 0x0D part words.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte that is no letter or digit.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = [not chr(b).isalnum() for b in range(128)]
 
 _powers = {}
 
@@ -86,11 +89,11 @@ def prefix_sums(body: np.ndarray, values: np.ndarray = _values) -> np.ndarray:
     return sums
 
 
-def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words [^\\x20\\x09-\\x0D]+; words don't cross texts."""
+def word_spans(body: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes outside ``gaps``; words don't cross texts."""
     if not len(body):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = ~SPACE[body]
+    inside = ~gaps[body]
     edge = np.zeros(len(body) + 1, bool)
     edge[offsets] = True
     first = inside.copy()
@@ -100,10 +103,10 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(body: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(body: np.ndarray, offsets: np.ndarray, fold: bool = True, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, bounds, starts, ends): bounds[i]:bounds[i + 1] are the words of text i.
-    ``fold`` makes A-Z equal a-z."""
-    starts, ends = word_spans(body, offsets)
+    ``fold`` makes A-Z equal a-z; with ``marks`` ASCII marks part words too."""
+    starts, ends = word_spans(body, offsets, MARKS if marks else SPACE)
     sums = prefix_sums(body, _folded if fold else _values)
     _, down = powers(len(body) + 1)
     names = mix((sums[ends] - sums[starts]) * down[starts])
