@@ -3,10 +3,10 @@
 The classifier never sees a clean label. Its risk is the non-negative estimate for
 positive and unlabelled samples: with the share p of toxic text, p times the loss of the
 toxic sample taken as toxic, plus what the unlabelled sample loses taken as clean less p
-times what the toxic sample loses taken as clean; where that second part falls below
-zero, it is pushed back up instead of further down.
+times what the toxic sample loses taken as clean; that second part is held at zero where
+it would fall below.
 
-A text is the set of its words and word beginnings (4 and 6 bytes), with ASCII case
+A text is the set of its words and word beginnings (4 to 6 bytes), with ASCII case
 folded and ASCII marks parting words. Of these the model keeps the ones that are much
 more frequent in toxic than in unlabelled text, and learns a weight for each.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bytescan, training
 
-BEGINNINGS = (4, 6)
+BEGINNINGS = (4, 5, 6)
 SCORES = "doc_id long, score double"
 
 
@@ -82,6 +82,16 @@ class Model:
         return training.sigmoid(out)
 
 
+def distinct(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """One set of each group of near copies, told by two least hashes: else the words of
+    a text with many copies would pass for signs."""
+    first = {}
+    for own in sets:
+        if len(own):
+            first.setdefault((int(own[0]), int(bytescan.mix(own).min())), own)
+    return list(first.values())
+
+
 def _matrix(sets: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     out = np.zeros((len(sets), len(keys)), np.float32)
     for row, own in zip(out, sets, strict=True):
@@ -89,33 +99,48 @@ def _matrix(sets: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = 1024, steps: int = 600) -> Model:
+def _rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the share of each."""
+    rows, n = np.unique(matrix, axis=0, return_counts=True)
+    return rows, n / max(1, len(matrix))
+
+
+def ratio_of(other: np.ndarray, own: np.ndarray) -> float:
+    return float(other.sum() / max(1, own.sum()))
+
+
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = 512, steps: int = 3000) -> Model:
     """Non-negative positive-unlabelled training on feature sets."""
+    toxic, unlabelled = distinct(toxic), distinct(unlabelled)
     if not toxic or not unlabelled:
         return Model(np.empty(0, np.uint64), np.empty(0), -40.0)
     names, counts = np.unique(np.concatenate(toxic), return_counts=True)
-    often = counts >= max(3, len(toxic) // 500)
-    names, counts = names[often], counts[often]
     other, others = np.unique(np.concatenate(unlabelled), return_counts=True)
     at = np.minimum(np.searchsorted(other, names), len(other) - 1)
     beside = np.where(other[at] == names, others[at], 0)
-    lift = np.log((counts + 0.5) / (len(toxic) + 1)) - np.log((beside + 0.5) / (len(unlabelled) + 1))
-    # toxic text is in the unlabelled sample too, so no lift exceeds that of a sure sign
-    best = np.argsort(-lift * np.sqrt(counts), kind="stable")[:kept]
-    best = best[lift[best] > np.log(3)]
+    # toxic text is in the unlabelled sample too: without its share, what is left there
+    # says how many toxic texts would have the feature by chance
+    ratio = len(toxic) / len(unlabelled)
+    chance = np.maximum(beside - prior * counts / ratio, 0) * ratio
+    sure = counts - chance - 4 * np.sqrt(chance) - max(4, len(toxic) // 200)
+    best = np.argsort(-sure, kind="stable")[:kept]
+    best = best[(sure[best] >= 0) & (counts[best] >= 2 * chance[best])]
+    sign = best[: max(1, len(best) // 10)]  # the share of text with a sure sign bounds the prior
+    if len(sign):
+        prior = min(prior, ratio * ratio_of(beside[sign], counts[sign]))
+    prior *= 0.9
     keys = np.sort(names[best])
-    x_toxic, x_other = _matrix(toxic, keys), _matrix(unlabelled, keys)
+    (x_toxic, n_toxic), (x_other, n_other) = (_rows(_matrix(s, keys)) for s in (toxic, unlabelled))
     w, b = np.zeros(len(keys)), np.array([np.log(prior / (1 - prior))])
-    adam = training.Adam([w, b], 0.05)
+    adam = training.Adam([w, b], 0.03)
     for _ in range(steps):
         p_toxic, p_other = training.sigmoid(x_toxic @ w + b), training.sigmoid(x_other @ w + b)
-        as_clean = -np.log(1 - p_other + 1e-12).mean() + prior * np.log(1 - p_toxic + 1e-12).mean()
-        up = [-(x_toxic * (1 - p_toxic)[:, None]).mean(0) * prior, -(1 - p_toxic).mean(keepdims=True) * prior]
-        down = [(x_other * p_other[:, None]).mean(0) - prior * (x_toxic * p_toxic[:, None]).mean(0), p_other.mean(keepdims=True) - prior * p_toxic.mean(keepdims=True)]
-        if as_clean >= 0:
-            adam.move([u + d + 1e-4 * r for u, d, r in zip(up, down, (w, 0 * b), strict=True)])
-        else:
-            adam.move([-d for d in down])
+        as_clean = -n_other @ np.log(1 - p_other + 1e-12) + prior * (n_toxic @ np.log(1 - p_toxic + 1e-12))
+        slope = [-prior * n_toxic * (1 - p_toxic), np.zeros(len(n_other))]
+        if as_clean > 0:  # else the second part is held at zero and has no slope
+            slope = [slope[0] - prior * n_toxic * p_toxic, n_other * p_other]
+        adam.move([slope[0] @ x_toxic + slope[1] @ x_other + 2e-5 * w, (slope[0].sum() + slope[1].sum()).reshape(1)])
+        np.maximum(w, 0, out=w)  # kept features are signs of toxic text only
     return Model(keys, w, float(b[0]))
 
 
