@@ -1,0 +1,58 @@
+"""Tunables with their defaults. Values equal those users of the reference rely on."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+from pathlib import Path
+
+# Defaults that results depend on.
+DISTANCE_THRESHOLD = 0.55
+RESULTS_LIMIT = 5
+LIMIT_VECTOR = 20
+LIMIT_KEYWORDS = 20
+RRF_K = 60
+RERANK_CANDIDATES = 20
+CHUNK_SIZE = 1024
+EMBED_BATCH = 100
+COMMIT_SIZE = 1000
+BOOTSTRAP_SAMPLES = 10_000
+BOOTSTRAP_SEED = 42
+JUDGE_ATTEMPTS = 3
+WORKER_ATTEMPTS = 3
+BACKOFF_SECONDS = 60
+MAX_HOPS = 4
+REFUSAL_SCORE = 7
+IGNORED_FILES = ("index.md",)
+REMOTE_PREFIX = "mcp:"
+ERROR_PREFIX = "error: "
+NO_RESULTS = "No relevant documents found."
+
+
+@dataclass(frozen=True)
+class SearchConfig:
+    """Parameters of one hybrid search; ``limit`` of 0 is refused."""
+
+    distance_threshold: float = DISTANCE_THRESHOLD
+    limit: int = RESULTS_LIMIT
+    limit_vector: int = LIMIT_VECTOR
+    limit_keywords: int = LIMIT_KEYWORDS
+    rrf_k: int = RRF_K
+    rerank: bool = False
+    candidates: int = RERANK_CANDIDATES
+
+    def __post_init__(self):
+        if min(self.limit, self.limit_vector, self.limit_keywords, self.candidates) < 1:
+            raise ValueError("limits are 1 or more")
+
+    @classmethod
+    def from_yaml(cls, path: str) -> SearchConfig:
+        """The ``search:`` section of a flat ``key: value`` file."""
+        found, inside = {}, False
+        for line in Path(path).read_text(encoding="utf-8").splitlines():
+            if not line.startswith((" ", "\t")):
+                inside = line.strip() == "search:"
+            elif inside and ":" in line:
+                key, value = (x.strip() for x in line.split("#")[0].split(":", 1))
+                kind = type(getattr(cls(), key))
+                found[key] = value == "true" if kind is bool else kind(value)
+        return replace(cls(), **found)
