@@ -38,12 +38,12 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends
     there, so a lost executor costs a reread and not a recomputation. The shuffle
     files of what was written are released at once."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = fresh(spark, what)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    del df  # else its own shuffle files would outlive the release
     release(spark)
-    return back
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -83,12 +83,12 @@ class Model:
 
 
 def distinct(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """One set of each group of near copies, told by two least hashes: else the words of
+    """One set of each group of near copies, told by six least hashes: else the words of
     a text with many copies would pass for signs."""
     first = {}
     for own in sets:
         if len(own):
-            first.setdefault((int(own[0]), int(bytescan.mix(own).min())), own)
+            first.setdefault(tuple(int(bytescan.mix(own ^ np.uint64(j)).min()) for j in range(6)), own)
     return list(first.values())
 
 
@@ -128,7 +128,7 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kep
     sign = best[: max(1, len(best) // 10)]  # the share of text with a sure sign bounds the prior
     if len(sign):
         prior = min(prior, ratio * ratio_of(beside[sign], counts[sign]))
-    prior *= 0.9
+    prior *= 0.95
     keys = np.sort(names[best])
     (x_toxic, n_toxic), (x_other, n_other) = (_rows(_matrix(s, keys)) for s in (toxic, unlabelled))
     w, b = np.zeros(len(keys)), np.array([np.log(prior / (1 - prior))])
