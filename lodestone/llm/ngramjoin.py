@@ -12,9 +12,9 @@ over all shingles of all documents; any deterministic order gives the same resul
 
 Only connections are asked for, which keeps groups of many near copies from being
 expanded into all pairs: equal sets are one node; rounds of leaders first link each node
-to the candidate it shares most with; then a shingle whose postings are all in one
-component needs no pair, and the others give the pairs between components, so that no
-link between different components is missed.
+to the candidate it shares most with and give both one label; then a shingle whose
+postings all have one label needs no pair, and the others give the pairs of different
+labels, so that no link between components is missed.
 
 Defined results: a null or empty text, or one without words, has an empty set and is
 linked with nothing. A document with fewer than k words has the whole sequence as its
@@ -39,6 +39,8 @@ from lodestone.llm import bytescan, graph, shared
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 _BLOCK = 1 << 12
+#: Size of the filter that tells tasks which documents to compute sets of.
+FILTER_BITS = 25
 #: Prefixes are lengthened by at most this many shared shingles.
 MOST_MATCHES = 4
 #: Cost of verifying a candidate, in postings, for each shingle of the document.
@@ -133,25 +135,69 @@ def prefixes(docs: DataFrame, k: int, threshold: Fraction, order: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
 
 
+def _hashed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each id in a filter."""
+    at = bytescan.mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+    return (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8)
+
+
+def id_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit map of 2**FILTER_BITS bits with the bit of every node set, gathered from the
+    executors' own maps. More nodes make it let more through, never less."""
+    n, size = 1 << FILTER_BITS - 15, 1 << 12
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bits = np.zeros(n * size, np.uint8)
+        for batch in batches:
+            at, bit = _hashed(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at, bit)
+        blocks = bits.reshape(n, size)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), TaskContext.get().partitionId() % 64), pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], ["block", "part", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(bits, np.uint8)
+                held[block] = held[block] | own if block in held else own
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["block", "part", "bits"])
+
+    schema = "block int, part int, bits binary"
+    merged = nodes.select("node").mapInArrow(mark, schema).repartition("block", "part").mapInArrow(merge, schema).repartition("block").mapInArrow(merge, schema)
+    out = np.zeros((n, size), np.uint8)
+    for row in merged.toLocalIterator():  # one map, whatever the number of nodes
+        out[row.block] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the documents named in nodes."""
+    """(node, set) of the documents named in nodes. Tasks compute the sets of documents
+    that pass the filter of nodes; the join drops those it passed by chance."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, bit = _hashed(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((sent.value[at] & bit) > 0))
             own = [s.view(np.int64) for s in document_sets(batch.column(1), k)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
             flat = np.concatenate(own) if own else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "set"])
 
-    wanted = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "node long, set array<long>")
+    passed = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "node long, set array<long>")
+    return passed.join(nodes.hint("merge"), "node", "left_semi")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, compared whole."""
+    """The pairs (a, b) whose sets reach the threshold, compared whole. The joins are
+    sort-merge joins whatever the size, so that volumes grow with the pairs."""
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = shared.cut(sets_of(docs, nodes, k), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    sets = shared.cut(sets_of(docs, shared.cut(nodes, "nodes"), k), "sets")
+    left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     common = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
     edges = shared.cut(common.filter(F.col("i") * threshold.denominator >= F.col("u") * threshold.numerator).select("a", "b"), "links")
     shared.discard(sets)
@@ -163,6 +209,13 @@ def _fits(a: str, b: str, threshold: Fraction) -> F.Column:
     return F.least(a, b) * threshold.denominator >= F.greatest(a, b) * threshold.numerator
 
 
+def _reachable(pos_a: str, pos_b: str, a: str, b: str, threshold: Fraction) -> F.Column:
+    """Whether the pair can reach the threshold if its first common shingle is at these
+    places: none before them is common."""
+    most = F.least(F.col(a) - F.col(pos_a), F.col(b) - F.col(pos_b))
+    return most * (threshold.numerator + threshold.denominator) >= (F.col(a) + F.col(b)) * threshold.numerator
+
+
 def _chosen(live: DataFrame) -> DataFrame:
     """The postings of each document's cheapest prefix, with its l as ``need``."""
     from pyspark.sql import Window
@@ -172,51 +225,64 @@ def _chosen(live: DataFrame) -> DataFrame:
         live = live.withColumn(f"c{l}", F.sum(F.when(F.col("pos") < F.col("base") + (l - 1), F.col("df") - 1).otherwise(0)).over(own).cast("double"))
     cost = [F.when(F.lit(l) <= F.col("most"), F.col(f"c{l}") + F.col(f"c{l}") / l * F.col("n") * VERIFY_COST) for l in range(1, MOST_MATCHES + 1)]
     need = F.coalesce(*[F.when(cost[l - 1] == F.least(*cost), F.lit(l)) for l in range(1, MOST_MATCHES + 1)])
-    return live.withColumn("need", need).filter(F.col("pos") < F.col("base") + F.col("need") - 1).select("token", "node", "n", "need")
-
-
-def _leaders(live: DataFrame, label: str, largest: bool, threshold: Fraction) -> DataFrame:
-    """Each node's best leader of another component: of the first (or last) nodes of its
-    shingles' postings, the one met most often."""
-    pick = F.max if largest else F.min
-    lead = live.groupBy("token").agg(pick(F.struct("node", "n", label)).alias("lead"))
-    met = live.join(lead, "token").filter(F.col(label) != F.col(f"lead.{label}")).filter(_fits("n", "lead.n", threshold))
-    counted = met.groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("met"))
-    best = counted.groupBy("node").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
-    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def _labelled(live: DataFrame, edges: DataFrame) -> DataFrame:
-    found = graph.components(edges)
-    return live.drop("label").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), leader_rounds: int = 2) -> DataFrame:
+    return live.withColumn("need", need).filter(F.col("pos") < F.col("base") + F.col("need") - 1).select("token", "node", "n", "need", "pos")
+
+
+def _leaders(live: DataFrame, last: bool, threshold: Fraction) -> DataFrame:
+    """(a, b, la, lb): for each label la its best pair with another label lb. A shingle's
+    leader is the node with the fewest rarer shingles, so of near copies one that has
+    little of its own, or in other rounds the last node; of all pairs with leaders, the
+    one that meets most often counts."""
+    lead = live.groupBy("token").agg(F.max(F.struct("node", "n", "pos", "label")).alias("lead") if last else F.min(F.struct("pos", "node", "n", "label")).alias("lead"))
+    met = live.join(lead.hint("merge"), "token").select("node", "n", "pos", "label", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"), F.col("lead.label").alias("theirs"))
+    met = met.filter("label <> theirs").filter(_fits("n", "m", threshold)).filter(_reachable("pos", "at", "n", "m", threshold))
+    counted = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("met"), *[F.first(c).alias(c) for c in ("label", "theirs")])
+    best = counted.groupBy(F.col("label").alias("la")).agg(F.max(F.struct("met", F.col("node").alias("a"), F.col("other").alias("b"), F.col("theirs").alias("lb"))).alias("p"))
+    return best.select("p.a", "p.b", "la", "p.lb")
+
+
+def _labelled(live: DataFrame, moves: DataFrame) -> DataFrame:
+    """live with the labels that have moved: moves (la, lb) has a row for each such la.
+    Of two labels that move to each other the lesser stays, and one step further is
+    looked ahead; labels only save comparisons, so they needn't be whole components."""
+    to = moves.select(F.col("la").alias("x"), F.col("lb").alias("y"))
+    back = to.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    one = to.join(back, "y", "left").select("x", F.when(F.col("z") == F.col("x"), F.least("x", "y")).otherwise(F.col("y")).alias("y"))
+    two = one.join(one.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("label"), F.coalesce("z", "y").alias("now"))
+    return live.join(two, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+
+
+def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), leader_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     order = counters(docs, k)
     rows = shared.cut(prefixes(docs, k, threshold, order), "prefixes")
     copies = rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sig", "node")
     copies = shared.cut(copies, "copies")
-    owned = rows.join(copies, "sig", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    owned = rows.join(copies, "sig", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     firsts = owned.filter("sig is not null and doc_id = node")
     base = F.col("n") - F.expr(f"(n * {threshold.numerator} + {threshold.denominator - 1}) div {threshold.denominator}") + 1
     postings = firsts.select("node", "n", base.alias("base"), F.posexplode("prefix").alias("pos", "token")).withColumn("most", F.least(F.lit(MOST_MATCHES).cast("long"), F.col("n") - F.col("base") + 1))
     shared_tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    live = shared.cut(postings.join(shared_tokens, "token"), "postings")
+    live = shared.cut(postings.join(shared_tokens.hint("merge"), "token"), "postings")
     live = shared.cut(_chosen(live).withColumn("label", F.col("node")), "chosen")
     edges = None
     for turn in range(leader_rounds):
-        pairs = shared.cut(_leaders(live, "label", turn % 2 == 1, threshold), "leaders")
-        found = verified(pairs, docs, k, threshold)
+        pairs = shared.cut(_leaders(live, turn % 2 == 1, threshold), "leaders")
+        found = verified(pairs.select("a", "b"), docs, k, threshold)
         edges = found if edges is None else edges.unionAll(found)
-        live = shared.cut(_labelled(live, edges), "labelled")
+        live = shared.cut(_labelled(live, pairs.join(found, ["a", "b"]).select("la", "lb")), "labelled")
     mixed = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    open_ = live.join(mixed, "token")
-    right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("eb"), F.col("label").alias("lb"))
-    left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("ea"), F.col("label").alias("la"))
-    met = left.join(right, "token").filter("a < b and la <> lb").filter(_fits("na", "nb", threshold))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(F.least("ea", "eb")).alias("need")).filter("met >= need").select("a", "b")
+    open_ = live.join(mixed.hint("merge"), "token")
+    right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("pos").alias("pb"))
+    left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("pos").alias("pa"))
+    # the first shingle that a pair has in common decides whether it is reachable
+    met = left.join(right, "token").filter("a < b and la <> lb").filter(_fits("na", "nb", threshold)).filter(_reachable("pa", "pb", "na", "nb", threshold))
+    heads = live.groupBy("node").agg(F.collect_set("token").alias("head"), F.first("need").alias("need"))  # at most a document's own prefix
+    pairs = met.select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("node").alias(side), F.col("head").alias(f"h{side}"), F.col("need").alias(f"e{side}")), side)
+    pairs = pairs.filter(F.size(F.array_intersect("ha", "hb")) >= F.least("ea", "eb")).select("a", "b")
     found = verified(shared.cut(pairs, "pairs"), docs, k, threshold)
     linked = graph.components(found if edges is None else edges.unionAll(found))
     return owned.join(linked, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -224,7 +290,13 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), lead
 
 def representatives(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs that stay when one document of each group does: the one whose
-    doc_id is its component, and rows without a doc_id. Rows repeated in full stay once."""
-    keep = join(docs, k, threshold).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    doc_id is its component, and rows without a doc_id. Of rows that share a doc_id one
+    stays."""
+    judged = join(docs, k, threshold).filter("doc_id is not null")
+    lost = judged.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    lost, again = shared.cut(lost, "lost"), shared.cut(again, "again")
+    kept = docs.join(lost, "doc_id", "left_anti")
+    single = kept.join(again, "doc_id", "left_anti")
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.select(*docs.columns).unionAll(one.select(*docs.columns))
