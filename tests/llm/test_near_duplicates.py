@@ -214,3 +214,38 @@ def test_a_simhash_is_the_majority_of_its_words(spark):
         votes = [sum((h[half] >> i) & 1 for h in words.values()) for i in range(64)]
         assert [(got[1][half] >> i) & 1 for i in range(64)] == [int(v > 1) for v in votes]
     assert 3 in got
+
+
+def typing_errors(rng, words, n):
+    """n of the words with one character changed, added or taken out each."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        w, at = out[i], rng.randrange(len(out[i]))
+        out[i] = rng.choice([w[:at] + rng.choice("abcdefgh") + w[at + 1 :], w[:at] + rng.choice("abcdefgh") + w[at:], w[:at] + w[at + 1 :] or "z"])
+    return out
+
+
+def test_recall_of_near_lines(spark):
+    """Against brute force: of all pairs of lines with edit similarity 0.8 by characters,
+    short and medium ones included, at least 90 in 100 are in one group, and lines that
+    no chain of such pairs connects are never."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    lines = set()
+    for n in [2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 28] * 5:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        other = list(base)
+        other[rng.randrange(n)] = rng.choice(vocabulary)
+        lines |= {" ".join(w) for w in (base, other, typing_errors(rng, base, 1), typing_errors(rng, base, max(1, n // 10)), typing_errors(rng, base, max(1, n // 5)))}
+    text = dict(enumerate(sorted(lines)))
+    got = {r._key: r._group for r in linededup.groups(spark.createDataFrame(list(text.items()), "_key long, _norm string"), 0.8, bands=True).collect()}
+    parts, near = Sets(), []
+    for a, x in text.items():
+        for b, y in text.items():
+            longer = max(len(x), len(y))
+            if a < b and abs(len(x) - len(y)) <= 0.2 * longer and levenshtein(x, y) <= longer * 0.2 + 1e-9:
+                near.append((a, b))
+                parts.join(a, b)
+    assert len(near) > 300
+    assert sum(a in got and got[a] == got.get(b) for a, b in near) >= 0.9 * len(near)
+    assert all(parts.find(k) == parts.find(g) for k, g in got.items())
