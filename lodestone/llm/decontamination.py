@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item are compared if they share a seed, a run of ``seed``
-words. Tiling then marks the longest runs of words that both have, longest first and
+A document and a benchmark item are compared if the seeds that they share, runs of ``seed``
+words or of ``least`` where that is fewer, cover ``coverage`` of the item's words. A tile
+consists of shared seeds, so no pair that tiling would report is left out. Tiling then marks the longest runs of words that both have, longest first and
 never overlapping: Karp-Rabin names of all unmarked runs of the search length find the
 matches, which are extended, marked by falling length, and the search length falls until
 ``least``. As tiles may lie in any order, a reordered passage is covered as well. A
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import bytescan
 
 BLOCK_BYTES = 32 << 20
+#: Places of shared seeds in items that are looked at together.
+PLACES = 1 << 22
 FOUND = "doc_id long, item_id long, coverage double, tiles int, longest int"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32())])
 
@@ -105,33 +108,67 @@ class Items:
         names, bounds, *_ = bytescan.words(folded(body), offsets, marks=True)
         self.ids = [i for i, _ in rows]
         self.words = [names[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
-        by_k: dict[int, dict[int, list[int]]] = {}
-        for i, words in enumerate(self.words):
-            if k := min(seed, len(words)):
-                for name in set(bytescan.shingle_names(words, k).tolist()):
-                    by_k.setdefault(k, {}).setdefault(name, []).append(i)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.seeds = {}
-        for k, held in by_k.items():
-            keys = np.fromiter(held, np.uint64, len(held))
+        for k in sorted({min(seed, len(w)) for w in self.words} - {0}):
+            own = [(i, bytescan.shingle_names(w, k)) for i, w in enumerate(self.words) if min(seed, len(w)) == k]
+            named = np.concatenate([n for _, n in own])
+            item = np.repeat([i for i, _ in own], [len(n) for _, n in own])
+            place = np.concatenate([np.arange(len(n)) for _, n in own])
+            order = np.argsort(named, kind="stable")
+            keys, first = np.unique(named[order], return_index=True)
             table = np.zeros(1 << 20, bool)
             table[keys >> np.uint64(44)] = True
-            self.seeds[k] = (held, keys, table)
+            self.seeds[k] = (keys, np.append(first, len(order)), item[order], place[order], table)
 
-    def sought(self, body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(text, item, the text's words) for each pair that shares a seed."""
+    def sought(self, body: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, the text's words) for each pair whose shared seeds cover enough."""
         names, bounds, *_ = bytescan.words(folded(body), offsets, marks=True)
-        pairs: set[tuple[int, int]] = set()
-        for k, (held, keys, table) in self.seeds.items():
+        pairs: list[tuple[int, int]] = []
+        for k, (keys, first, item, place, table) in self.seeds.items():
             shingles = bytescan.shingle_names(names, k)
             at = np.flatnonzero(table[shingles >> np.uint64(44)])
-            at = at[np.isin(shingles[at], keys)]
-            texts = np.searchsorted(bounds, at, "right") - 1
-            inside = at + k <= bounds[texts + 1]
-            for text, name in zip(texts[inside].tolist(), shingles[at[inside]].tolist(), strict=True):
-                pairs.update((text, i) for i in held[name])
+            key = np.minimum(np.searchsorted(keys, shingles[at]), len(keys) - 1)
+            same = keys[key] == shingles[at]
+            at, key = at[same], key[same]
+            text = np.searchsorted(bounds, at, "right") - 1
+            inside = at + k <= bounds[text + 1]
+            found = np.unique(text[inside] * len(keys) + key[inside])  # once a text
+            text, key = found // len(keys), found % len(keys)
+            many = first[key + 1] - first[key]
+            for i, j in self._slices(text, many):
+                pairs += self._covered(k, text[i:j], first[key[i:j]], many[i:j], item, place, coverage)
         for text, item in sorted(pairs):
             yield text, item, names[bounds[text] : bounds[text + 1]]
 
+    @staticmethod
+    def _slices(text: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of whole texts with about ``PLACES`` places in items, or one text."""
+        i, ends = 0, np.append(np.flatnonzero(np.diff(text)) + 1, len(text))
+        total = np.concatenate([[0], np.cumsum(many)])
+        while i < len(text):
+            fit = ends[(ends > i) & (total[ends] <= total[i] + PLACES)]
+            j = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, i, "right")])
+            yield i, j
+            i = j
+
+    def _covered(self, k: int, text, first, many, item, place, coverage: float) -> list[tuple[int, int]]:
+        """The (text, item) pairs where enough of the item's words lie in shared seeds."""
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(first, many) + step
+        pair, where = np.repeat(text, many) * len(self.ids) + item[at], place[at]
+        order = np.lexsort((where, pair))
+        pair, where = pair[order], where[order]
+        if not len(pair):
+            return []
+        words = np.full(len(pair), k)
+        again = pair[1:] == pair[:-1]
+        words[:-1][again] = np.minimum(k, np.diff(where)[again])
+        starts = np.flatnonzero(np.append(True, ~again))
+        pair, words = pair[starts], np.add.reduceat(words, starts)
+        enough = words / self.sizes[pair % len(self.ids)] >= coverage
+        return [divmod(p, len(self.ids)) for p in pair[enough].tolist()]
+
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -146,7 +183,7 @@ def _hits(items: Items, texts: pa.Array, least: int, coverage: float) -> Iterato
     body, offsets = bytescan.buffers(texts)
     for first, last in bytescan.pieces(offsets):
         part = offsets[first : last + 1]
-        for text, item, words in items.sought(body[part[0] : part[-1]], part - part[0]):
+        for text, item, words in items.sought(body[part[0] : part[-1]], part - part[0], coverage):
             tiles = tile(words, items.words[item], least)
             share = sum(n for n, *_ in tiles) / len(items.words[item])
             if share >= coverage:
@@ -164,7 +201,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: int = 3, c
         sent = docs.sparkSession.sparkContext.broadcast(_rows(block))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value, seed)
+            items = Items(sent.value, min(seed, max(1, least)))
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[i], *rest) for i, *rest in _hits(items, batch.column(1), least, coverage)]
@@ -182,7 +219,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: int = 3,
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value, seed)
+            items = Items(sent.value, min(seed, max(1, least)))
             for batch in batches:
                 held = {i for i, *_ in _hits(items, batch.column(at), least, coverage)}
                 keep = np.ones(batch.num_rows, bool)

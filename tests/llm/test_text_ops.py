@@ -154,3 +154,32 @@ def test_hot_groups_are_split(spark):
         by[r.g].add(r.shard)
     assert len(by["hot"]) == 4 and all(len(v) == 1 for k, v in by.items() if k != "hot")
     assert got.count() == 600
+
+
+@pytest.mark.parametrize("places", [1 << 22, 5])
+def test_every_pair_that_tiling_reports_is_found(spark, monkeypatch, places):
+    """Runs of 3 and 4 words alone count too: every fifth word altered, pieces shuffled."""
+    monkeypatch.setattr(decontamination, "PLACES", places)
+    rng = random.Random(9)
+    items = [(i, [f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 4, 20, 40]))]) for i in range(30)]
+    docs = [(100, "w1 w2"), (101, None), (102, "")]
+    for i, words in items:
+        docs.append((i, " ".join("altered" if j % 5 == 4 else w for j, w in enumerate(words))))
+        cut = [words[j : j + 4] for j in range(0, len(words), 4)]
+        rng.shuffle(cut)
+        docs.append((50 + i, " and so ".join(" ".join(c) for c in cut)))
+    rows = [(i, " ".join(w)) for i, w in items]
+    names = {w: n for n, w in enumerate(sorted({w for _, t in docs + rows for w in (t or "").split()}))}
+    coded = lambda t: np.array([names[w] for w in (t or "").split()], np.uint64)
+    want = set()
+    for d, t in docs:
+        for i, item in rows:
+            tiles = decontamination.tile(coded(t), coded(item), 3)
+            if sum(n for n, *_ in tiles) >= 0.8 * len(item.split()):
+                want.add((d, i))
+    held = decontamination.Items(rows, 3)
+    got = {(docs[n][0], i) for n, i, *_ in decontamination._hits(held, pa.array([t for _, t in docs]), 3, 0.8)}
+    assert got == want and {(i, i) for i, w in items if len(w) >= 20} <= want
+    if places > 5:
+        bench = spark.createDataFrame(rows, "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench).collect()} == want
