@@ -39,6 +39,19 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return both.unpivot(["id_a"], list(AXES), "axis", "delta").filter("delta is not null")
 
 
+def winner_deltas(logs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(comparison, axis, id_a, delta) of the composite's winner against every other run,
+    the winner's score less the other's. The other run keeps repeated questions, of the
+    winner the last log counts, and missing questions pair with each other."""
+    first = composite(metrics).filter("place = 1").select(F.col("run_name").alias("winner"))
+    own = logs.join(F.broadcast(first), F.col("run_name") == F.col("winner"))
+    last = own.groupBy("winner", F.col("question_id").alias("question_b")).agg(*[F.max_by(F.struct(F.col(x).cast("int").alias("v")), "id").getField("v").alias(f"{x}_b") for x in AXES])
+    others = logs.select("run_name", "question_id", F.col("id").alias("id_a"), *[F.col(x).cast("int").alias(f"{x}_a") for x in AXES])
+    pairs = others.join(last, F.col("question_id").eqNullSafe(F.col("question_b"))).filter("run_name <> winner")
+    both = pairs.select(F.concat_ws(" vs ", "winner", "run_name").alias("comparison"), "id_a", *[(F.col(f"{x}_b") - F.col(f"{x}_a")).cast("double").alias(x) for x in AXES])
+    return both.unpivot(["comparison", "id_a"], list(AXES), "axis", "delta").filter("delta is not null")
+
+
 def wilcoxon(values: np.ndarray) -> float:
     """Two-sided signed-rank p: exact up to 50 differences without ties or zeros, else
     the normal approximation with tie correction; 1 if all are zero (Wilcoxon 1945)."""

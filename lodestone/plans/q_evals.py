@@ -117,13 +117,8 @@ def x4_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x5_x6_pairwise")
 def x5_x6_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap intervals and Wilcoxon p of run src1 against three others."""
-    logs = base.logs(spark, sf_dir)
-    rows = None
-    for other in ("src2", "src4", "src5"):
-        part = stats.deltas(stats.paired(logs, "src1", other)).withColumn("comparison", F.lit(f"src1 vs {other}"))
-        rows = part if rows is None else rows.unionByName(part)
-    return stats.pairwise(rows)
+    """Bootstrap intervals and Wilcoxon p of the winner against every other run."""
+    return stats.pairwise(stats.winner_deltas(base.logs(spark, sf_dir), _metrics(spark, sf_dir)))
 
 
 @query("x7_bonferroni", """WITH t AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 100) / 1000.0::DOUBLE END AS p FROM embeddings WHERE vec_id < 40)

@@ -189,3 +189,27 @@ def test_backfill_computes_missing_vectors_only(spark):
     rows = spark.createDataFrame([(1, "a b", None), (2, "c", [1.0])], "id int, original_text string, embedding array<float>")
     got = {r.id: r.embedding for r in models.backfilled(rows).collect()}
     assert len(got[1]) == models.WIDTH and got[2] == [1.0]
+
+
+def test_the_winner_is_compared_with_every_other_run(spark, sf_dir):
+    """Against plain code, over all runs, axes and tests."""
+    import json
+    from collections import defaultdict
+
+    from lodestone.plans import base, q_evals
+
+    document = q_evals.x8_results_document(spark, sf_dir).collect()[0]
+    runs, tests = (json.loads(document.results)[k] for k in ("runs", "tests"))
+    logs = defaultdict(list)
+    for r in base.logs(spark, sf_dir).orderBy("id").collect():
+        logs[r.run_name].append(r)
+    want = {}
+    last = {r.question_id: r for r in logs[document.winner]}
+    for run in set(logs) - {document.winner}:
+        for axis in stats.AXES:
+            d = [int(last[r.question_id][axis]) - int(r[axis]) for r in logs[run] if r.question_id in last and None not in (r[axis], last[r.question_id][axis])]
+            if d:
+                want[f"{document.winner} vs {run}", axis] = (len(d), round(sum(d) / len(d), 3))
+    assert len(runs) == len(logs) > 4
+    assert {(t["comparison"], t["axis"]): (t["n"], t["delta"]) for t in tests} == want
+    assert {t["threshold"] for t in tests} == {round(0.05 / len(want), 5)}
