@@ -249,3 +249,16 @@ def test_recall_of_near_lines(spark):
     assert len(near) > 300
     assert sum(a in got and got[a] == got.get(b) for a, b in near) >= 0.9 * len(near)
     assert all(parts.find(k) == parts.find(g) for k, g in got.items())
+
+
+def test_long_lines_are_measured_by_characters(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(40)]
+    typos = [w[:4] + "x" + w[5:] if i % 4 == 0 and i < 40 else w for i, w in enumerate(words)]  # similarity 0.97
+    token = [*words[:39], "y" * 200]  # one word apart, below 0.8
+    rows = [(1, " ".join(words)), (2, " ".join(typos)), (3, " ".join(token))]
+    texts = spark.createDataFrame(rows, "_key long, _norm string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert {r.b: r._like for r in linededup._alike_by_characters(pairs, texts, 0.8).collect()} == {2: True, 3: False}
+    found = linededup.dedup(frame(spark, [(1, rows[0][1]), (2, rows[2][1])]), 0.8)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0}
