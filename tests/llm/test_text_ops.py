@@ -183,3 +183,34 @@ def test_every_pair_that_tiling_reports_is_found(spark, monkeypatch, places):
     if places > 5:
         bench = spark.createDataFrame(rows, "item_id long, text string")
         assert {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs), bench).collect()} == want
+
+
+def test_units_have_the_ids_of_their_text():
+    """Batches of texts with every kind of boundary, against the tokenizer on each text."""
+    enc, rng = packing.Encoder(tokenizer_path(), most=50), random.Random(7)
+    parts = [" ", " ", "\n", "a", "é", "’", "日", "1", "'s", ".", ",", "(", "×", "ll", "\t", "　", "😀", "Ж", "\x85", "\xa0", "B"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", "don't (x) [y] z.w,v;é.ñ,×,a×b÷.c", ".", "a."]
+    body, offsets = bytescan.buffers(pa.array(texts))
+    for _ in range(2):  # the second time some units are known
+        ids, bounds = enc.batch(body, offsets)
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_layout_types_ids_and_a_long_text(spark):
+    rows = [(1, "same row"), (1, "same row"), (1, "other text"), (None, "null id"), (2, "many words here " * 700_000)]
+    laid = packing.pack(frame(spark, rows), tokenizer_path(), 2, 64, keep_ids=True)
+    assert dict(laid.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint", "ids": "array<bigint>"}
+    got = laid.collect()
+    assert len([r for r in got if r.doc_id != 2]) == 4
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert sum(r.length for r in got if r.doc_id == 2) > 2_000_000
+
+
+def test_no_two_bins_are_left_that_fit_together(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("a" for _ in range(rng.choice([5, 20, 33, 38, 60])))) for i in range(600)]
+    fills = defaultdict(int)
+    for r in packing.pack(frame(spark, rows), tokenizer_path(), 2, 64, block=32).collect():
+        fills[r.sequence_id] += r.length
+    assert sum(f <= 32 for f in fills.values()) <= 1
