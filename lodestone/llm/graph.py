@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     found = shared.cut(found, "edges")
     mark = _mark(found)
     while mark[0]:
-        found = shared.cut(_small_star(_large_star(found)), "edges")
+        before, found = found, shared.cut(_small_star(_large_star(found)), "edges")
+        shared.discard(before)
         now = _mark(found)
         if now == mark:
             break
