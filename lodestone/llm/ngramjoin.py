@@ -247,9 +247,9 @@ def _labelled(live: DataFrame, moves: DataFrame) -> DataFrame:
     looked ahead; labels only save comparisons, so they needn't be whole components."""
     to = moves.select(F.col("la").alias("x"), F.col("lb").alias("y"))
     back = to.select(F.col("x").alias("y"), F.col("y").alias("z"))
-    one = to.join(back, "y", "left").select("x", F.when(F.col("z") == F.col("x"), F.least("x", "y")).otherwise(F.col("y")).alias("y"))
-    two = one.join(one.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("label"), F.coalesce("z", "y").alias("now"))
-    return live.join(two, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+    one = to.hint("merge").join(back.hint("merge"), "y", "left").select("x", F.when(F.col("z") == F.col("x"), F.least("x", "y")).otherwise(F.col("y")).alias("y"))
+    two = one.hint("merge").join(one.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("label"), F.coalesce("z", "y").alias("now"))
+    return live.join(two.hint("merge"), "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
 
 
 def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), leader_rounds: int = 1) -> DataFrame:
@@ -259,7 +259,7 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), lead
     rows = shared.cut(prefixes(docs, k, threshold, order), "prefixes")
     copies = rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sig", "node")
     copies = shared.cut(copies, "copies")
-    owned = rows.join(copies, "sig", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
+    owned = rows.join(copies.hint("merge"), "sig", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
     firsts = owned.filter("sig is not null and doc_id = node")
     base = F.col("n") - F.expr(f"(n * {threshold.numerator} + {threshold.denominator - 1}) div {threshold.denominator}") + 1
     postings = firsts.select("node", "n", base.alias("base"), F.posexplode("prefix").alias("pos", "token")).withColumn("most", F.least(F.lit(MOST_MATCHES).cast("long"), F.col("n") - F.col("base") + 1))
@@ -271,21 +271,21 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), lead
         pairs = shared.cut(_leaders(live, turn % 2 == 1, threshold), "leaders")
         found = verified(pairs.select("a", "b"), docs, k, threshold)
         edges = found if edges is None else edges.unionAll(found)
-        live = shared.cut(_labelled(live, pairs.join(found, ["a", "b"]).select("la", "lb")), "labelled")
+        live = shared.cut(_labelled(live, pairs.join(found.hint("merge"), ["a", "b"]).select("la", "lb")), "labelled")
     mixed = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     open_ = live.join(mixed.hint("merge"), "token")
     right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("pos").alias("pb"))
     left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("pos").alias("pa"))
     # the first shingle that a pair has in common decides whether it is reachable
-    met = left.join(right, "token").filter("a < b and la <> lb").filter(_fits("na", "nb", threshold)).filter(_reachable("pa", "pb", "na", "nb", threshold))
+    met = left.hint("merge").join(right.hint("merge"), "token").filter("a < b and la <> lb").filter(_fits("na", "nb", threshold)).filter(_reachable("pa", "pb", "na", "nb", threshold))
     heads = live.groupBy("node").agg(F.collect_set("token").alias("head"), F.first("need").alias("need"))  # at most a document's own prefix
     pairs = met.select("a", "b").distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(heads.select(F.col("node").alias(side), F.col("head").alias(f"h{side}"), F.col("need").alias(f"e{side}")), side)
+        pairs = pairs.hint("merge").join(heads.select(F.col("node").alias(side), F.col("head").alias(f"h{side}"), F.col("need").alias(f"e{side}")), side)
     pairs = pairs.filter(F.size(F.array_intersect("ha", "hb")) >= F.least("ea", "eb")).select("a", "b")
     found = verified(shared.cut(pairs, "pairs"), docs, k, threshold)
     linked = graph.components(found if edges is None else edges.unionAll(found))
-    return owned.join(linked, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return owned.join(linked.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
