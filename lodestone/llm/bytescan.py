@@ -8,6 +8,7 @@ with a probability of about 2**-60 a pair.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow as pa
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: powers have a long period
 _INVERSE = pow(_STEP, -1, 1 << 64)
+#: Longer words are named by BLAKE2: a polynomial modulo 2**64 gives some different long
+#: strings of two letters one sum, whatever its step and values.
+LONGEST = 64
 #: Bytes handled at once; one longer text is handled alone.
 CHUNK = 1 << 21
 
@@ -110,6 +114,9 @@ def words(body: np.ndarray, offsets: np.ndarray, fold: bool = True, marks: bool
     sums = prefix_sums(body, _folded if fold else _values)
     _, down = powers(len(body) + 1)
     names = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONGEST):
+        word = body[starts[i] : ends[i]].tobytes()
+        names[i] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
     return names, np.searchsorted(starts, offsets), starts, ends
 
 

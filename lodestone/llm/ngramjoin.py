@@ -18,9 +18,10 @@ labels, so that no link between components is missed.
 
 Defined results: a null or empty text, or one without words, has an empty set and is
 linked with nothing. A document with fewer than k words has the whole sequence as its
-only shingle. Rows with the same doc_id are one node. A null doc_id is linked with
+only shingle. Rows that share a doc_id are told apart: each has the component of its own
+text, and a component's name is the least doc_id of its rows. A null doc_id is linked with
 nothing and has a null component. An empty table gives no rows. Other columns are
-ignored.
+ignored. A very long text is handled whole, some 40 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -252,8 +253,30 @@ def _labelled(live: DataFrame, moves: DataFrame) -> DataFrame:
     return live.join(two.hint("merge"), "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
 
 
+def _repeats(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id."""
+    return not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), leader_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    if not _repeats(docs):
+        return _joined(docs, k, threshold, leader_rounds)
+    numbered = shared.cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
+    found = shared.cut(_joined(_by_row(numbered), k, threshold, leader_rounds), "joined")
+    owned = found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(numbered.select("row", "doc_id"), "row")
+    named = owned.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    known = owned.join(named, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return known.unionAll(found.filter("doc_id is null"))
+
+
+def _by_row(numbered: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the row's number in place of each doc_id that isn't null."""
+    return numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+
+
+def _joined(docs: DataFrame, k: int, threshold: Fraction, leader_rounds: int) -> DataFrame:
+    """join() where no two rows share a doc_id."""
     docs = docs.select("doc_id", "text")
     order = counters(docs, k)
     rows = shared.cut(prefixes(docs, k, threshold, order), "prefixes")
@@ -278,7 +301,7 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), lead
     left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("pos").alias("pa"))
     # the first shingle that a pair has in common decides whether it is reachable
     met = left.hint("merge").join(right.hint("merge"), "token").filter("a < b and la <> lb").filter(_fits("na", "nb", threshold)).filter(_reachable("pa", "pb", "na", "nb", threshold))
-    heads = live.groupBy("node").agg(F.collect_set("token").alias("head"), F.first("need").alias("need"))  # at most a document's own prefix
+    heads = live.groupBy("node").agg(F.collect_set("token").alias("head"), F.min("need").alias("need"))  # at most a document's own prefix
     pairs = met.select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.hint("merge").join(heads.select(F.col("node").alias(side), F.col("head").alias(f"h{side}"), F.col("need").alias(f"e{side}")), side)
@@ -289,14 +312,19 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), lead
 
 
 def representatives(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of docs that stay when one document of each group does: the one whose
-    doc_id is its component, and rows without a doc_id. Of rows that share a doc_id one
-    stays."""
-    judged = join(docs, k, threshold).filter("doc_id is not null")
-    lost = judged.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    lost, again = shared.cut(lost, "lost"), shared.cut(again, "again")
-    kept = docs.join(lost, "doc_id", "left_anti")
-    single = kept.join(again, "doc_id", "left_anti")
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionAll(one.select(*docs.columns))
+    """The rows of docs that stay when one document of each group does: the one with the
+    least doc_id, and rows without a doc_id. Rows that share a doc_id are told apart by
+    their texts."""
+    if not _repeats(docs):
+        judged = _joined(docs, k, threshold, 1).filter("doc_id is not null")
+        lost = shared.cut(judged.filter("doc_id <> component_id").select("doc_id"), "lost")
+        return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    own = "row"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    numbered = shared.cut(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("doc_id", "text", F.col(own).alias("row"))
+    judged = _joined(_by_row(rows), k, threshold, 1).filter("doc_id is not null").select(F.col("doc_id").alias("row"), "component_id")
+    best = judged.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    lost = shared.cut(judged.join(best.select(F.col("best.row").alias("row")), "row", "left_anti").select(F.col("row").alias(own)), "lost")
+    return numbered.join(lost, own, "left_anti").select(*docs.columns)

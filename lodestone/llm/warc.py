@@ -12,7 +12,8 @@ others are revisits that refer to it.
 Defined results: a null html is the empty payload. A null url leaves the target out. A
 null page id comes before all others and reads back as null. Rows repeated in full are
 all responses where their page id is the largest of their payload. An empty table gives
-no archive. Other columns are ignored.
+no archive. Long payloads are written and read whole; an archive is read into memory, and
+holds at most one record beyond the size at which it is closed. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,19 +128,18 @@ def parse(data: bytes | memoryview, at: int = 0) -> tuple[dict, int]:
     }, end + 4
 
 
-def _plain(data: bytes, base: int, whole: int | None = None) -> Iterator[dict]:
-    """Records and gaps of an uncompressed run. Within a member of ``whole`` bytes, at
-    and size are those of the member."""
+def _plain(data: bytes, base: int, whole: int) -> Iterator[dict]:
+    """Records and gaps of what the member at ``base``, of ``whole`` bytes, holds. Both are
+    placed by the member, which is the least range of the file that has them."""
     at = 0
     while at < len(data):
         try:
             found, end = parse(data, at)
-            place = {"at": base + at, "size": end - at} if whole is None else {"at": base, "size": whole}
-            yield found | place
+            yield found | {"at": base, "size": whole}
         except Damaged as why:
             nxt = _VERSION_LINE.search(data, at + 1)
             end = nxt.start() if nxt else len(data)
-            yield {"kind": "gap", "at": base + at if whole is None else base, "size": end - at, "reason": str(why)}
+            yield {"kind": "gap", "at": base, "size": whole, "reason": str(why)}
         at = end
 
 
@@ -167,31 +167,31 @@ def _promising(data: memoryview, at: int) -> bool:
     return bool(_VERSION_LINE.match(got))
 
 
+def _next(raw: bytes, data: memoryview, at: int) -> int:
+    """Where the next version line, or member that decodes to one, begins."""
+    line = _VERSION_LINE.search(raw, at)
+    plain = line.start() if line else len(raw)
+    gz = raw.find(b"\x1f\x8b\x08", at, plain)
+    while gz >= 0 and not _promising(data, gz):
+        gz = raw.find(b"\x1f\x8b\x08", gz + 1, plain)
+    return plain if gz < 0 else gz
+
+
 def salvage(raw: bytes) -> Iterator[dict]:
-    """Every record that can be read, and every quarantined gap, in order."""
+    """Every record that can be read, and every quarantined gap, in order. What begins at
+    a place is checked first; only after a failed check the next beginning is sought, so
+    that an intact record keeps whatever its payload holds."""
     data, at = memoryview(raw), 0
     while at < len(raw):
-        if raw[at : at + 5] == b"WARC/":
-            end = raw.find(b"\x1f\x8b\x08", at)
-            while end >= 0 and not _promising(data, end):
-                end = raw.find(b"\x1f\x8b\x08", end + 1)
-            end = len(raw) if end < 0 else end
-            yield from _plain(raw[at:end], at)
-            at = end
-            continue
         try:
-            held, end = _inflate(data, at)
-            yield from _plain(held, at, end - at)
+            if raw[at : at + 5] == b"WARC/":
+                found, end = parse(raw, at)
+                yield found | {"at": at, "size": end - at}
+            else:
+                held, end = _inflate(data, at)
+                yield from _plain(held, at, end - at)
         except Damaged as why:
-            end = at + 1
-            while True:
-                gz, line = raw.find(b"\x1f\x8b\x08", end), _VERSION_LINE.search(raw, end)
-                plain = line.start() if line else len(raw)
-                if 0 <= gz < plain and not _promising(data, gz):
-                    end = gz + 1
-                    continue
-                end = gz if 0 <= gz < plain else plain
-                break
+            end = _next(raw, data, at + 1)
             yield {"kind": "gap", "at": at, "size": end - at, "reason": str(why)}
         at = end
 

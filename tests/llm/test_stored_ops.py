@@ -86,3 +86,20 @@ def test_shards_are_tar_files(spark):
         names = tar.getnames()
         held = tar.extractfile(f"{row.digest}.png").read()
     assert len(names) == 5 and media.unpng(held) == media.padded(b"text 0")
+
+
+def test_an_intact_record_keeps_a_gzipped_record_in_its_payload():
+    inner = warc.member(warc.record(7, "http://in", b"inner", None, False))
+    outer = warc.record(1, "http://out", b"before " + inner + b" after", None, False)
+    got = list(warc.salvage(outer + warc.record(2, None, b"next", None, False)))
+    assert [(r["kind"], r.get("page_id")) for r in got] == [("record", 1), ("record", 2)]
+    assert got[0]["payload"] == b"before " + inner + b" after"
+
+
+def test_gaps_are_ranges_of_the_file():
+    good = warc.record(1, None, b"x" * 400, None, False)
+    raw = warc.member(b"junk " * 80 + good) + b"zzzz" + warc.member(good)
+    got = list(warc.salvage(raw))
+    assert [r["kind"] for r in got] == ["gap", "record", "gap", "record"]
+    assert all(0 <= r["at"] and r["at"] + r["size"] <= len(raw) for r in got)
+    assert raw[got[2]["at"] : got[2]["at"] + got[2]["size"]] == b"zzzz"
