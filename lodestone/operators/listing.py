@@ -88,12 +88,14 @@ def random_sample(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame
 
 
 def insert_new(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of fresh whose key the table doesn't have; the first of equal keys counts."""
+    """Rows of fresh whose key the table doesn't have; of equal keys any one row counts."""
     return fresh.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*fresh.columns)
 
 
 def upsert(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """existing with the rows of fresh in place of those with the same key."""
+    """existing with the rows of fresh in place of those with the same key; of equal keys
+    in fresh any one row counts."""
+    fresh = fresh.dropDuplicates([key])
     return existing.join(fresh.select(key), key, "left_anti").select(*existing.columns).unionByName(fresh.select(*existing.columns))
 
 
@@ -113,10 +115,10 @@ def next_version(prompts: DataFrame, purpose: str) -> DataFrame:
 
 
 def guarded_delete(rows: DataFrame, key: str, value, references: DataFrame, foreign: str) -> DataFrame:
-    """rows without the one that has the key; ValueError while another table uses it."""
+    """rows without the one that has the key, those with a null key included; ValueError while another table uses it."""
     if not references.filter(F.col(foreign) == F.lit(value)).isEmpty():
         raise ValueError(f"{value!r} is in use")
-    return rows.filter(F.col(key) != F.lit(value))
+    return rows.filter(~F.col(key).eqNullSafe(F.lit(value)))
 
 
 def cascade(children: DataFrame, foreign: str, gone: DataFrame, key: str) -> DataFrame:

@@ -106,21 +106,26 @@ def pairwise(delta_rows: DataFrame, by: str = "comparison", samples: int = confi
 def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """tests with ``threshold`` (5 digits), ``significant_raw`` and
     ``significant_corrected``; the comparison uses the exact threshold."""
-    n = F.count("p").over(Window.partitionBy(F.lit(1)))
+    n = tests.agg(F.count("p")).scalar()  # one number, not a window over all tests
     exact = F.lit(alpha) / F.nullif(n, F.lit(0))
     return tests.select("*", F.round(exact, 5).alias("threshold"), (F.col("p") < alpha).alias("significant_raw"), (F.col("p") < exact).alias("significant_corrected"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties, and the share of equal values."""
-
-    def ranked(name: str):
-        own = Window.partitionBy(name)
-        return F.rank().over(Window.orderBy(name)) + (F.count(F.lit(1)).over(own) - 1) / 2.0
-
-    both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    placed = both.select(a, b, ranked(a).alias("ra"), ranked(b).alias("rb"))
-    return placed.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"), F.round(F.avg((F.col(a) == F.col(b)).cast("double")), 6).alias("exact_match"))
+    """Rank correlation with average ranks for ties, and the share of equal values. Ranks
+    are made from the counts of the distinct pairs of scores, so no task sorts all rows."""
+    pairs = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+    def ranked(name: str) -> DataFrame:
+        held = pairs.groupBy(name).agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+        return held.select(name, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{name}"))
+
+    placed = pairs.join(ranked("x"), "x").join(ranked("y"), "y")
+    w, u, v = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    sums = placed.agg(*[F.sum(c).alias(k) for k, c in {"n": w, "u": w * u, "v": w * v, "uu": w * u * u, "vv": w * v * v, "uv": w * u * v, "same": F.when(F.col("x") == F.col("y"), w).otherwise(0.0)}.items()])
+    corr = F.expr("(n * uv - u * v) / nullif(sqrt(n * uu - u * u) * sqrt(n * vv - v * v), 0)")
+    return sums.select(F.round(corr, 6).alias("spearman"), F.round(F.expr("same / nullif(n, 0)"), 6).alias("exact_match"))
 
 
 def results_document(metrics: DataFrame, tests: DataFrame) -> DataFrame:

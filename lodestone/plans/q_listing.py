@@ -83,9 +83,9 @@ def o6_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.seeded_sample(base.table(spark, sf_dir, "orders"), 100, 42, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("k3_insert_new", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey < 30)")
+@query("k3_insert_new", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal < -900)")
 def k3_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = base.table(spark, sf_dir, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("n_nationkey"))
+    held = base.table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey"))
     return listing.insert_new(held, base.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
 
 
@@ -117,9 +117,9 @@ def k7_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.activate(_prompts(spark, sf_dir), "Brand#11", 9)
 
 
-@query("so2_difference", "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20")
+@query("so2_difference", "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def so2_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = base.table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select("s_nationkey")
+    held = base.table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey")
     return base.table(spark, sf_dir, "nation").select("n_nationkey").subtract(held)
 
 

@@ -69,8 +69,8 @@ def p4_full_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BATCH = f"""{_OPEN}, q AS (
-  SELECT b.item_id AS query_id, list_slice(list_distinct_sorted, 1, 3) AS words, e.embedding::DOUBLE[] AS qe FROM (
-    SELECT item_id, list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))), 1, 3) AS list_distinct_sorted FROM benchmark) b
+  SELECT b.item_id AS query_id, list_distinct_sorted AS words, e.embedding::DOUBLE[] AS qe FROM (
+    SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS list_distinct_sorted FROM benchmark) b
   LEFT JOIN embeddings e ON e.vec_id = b.item_id),
 vv AS (SELECT query_id, id, vector_distance, row_number() OVER (PARTITION BY query_id ORDER BY vector_distance, id) AS vector_rank FROM (
   SELECT query_id, id, round(list_cosine_distance(embedding, qe), 9) + 0 AS vector_distance FROM open, q WHERE embedding IS NOT NULL AND qe IS NOT NULL) WHERE vector_distance <= {THRESHOLD}),
@@ -84,7 +84,7 @@ SELECT r.*, c.source, c.category FROM rr r JOIN chunks c USING (id) WHERE rank <
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.array_sort(F.array_distinct(text.lexemes(F.col("text")))), 1, 3)
+    words = F.array_sort(F.array_distinct(text.lexemes(F.col("text"))))
     asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", words.alias("query_lexemes"))
     return asked.join(base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
 
