@@ -165,3 +165,10 @@ def verdict(reply: Column) -> Column:
     """A judge's JSON reply as struct<reason, score>; null unless the score is 0 to 10."""
     got = F.from_json(reply, "reason string, score int")
     return F.when(got["score"].between(0, 10), got)
+
+
+def verdict_error(reply: Column) -> Column:
+    """Why a reply is no verdict: ``invalid_json`` or ``invalid_score``; null if it is one."""
+    got = F.from_json(reply, "reason string, score int")
+    broken = reply.isNull() | F.try_parse_json(reply).isNull()
+    return F.when(broken, F.lit("invalid_json")).when(~F.coalesce(got["score"].between(0, 10), F.lit(False)), F.lit("invalid_score"))

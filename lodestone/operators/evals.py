@@ -89,18 +89,22 @@ def series_complete(runs: DataFrame, logs: DataFrame) -> DataFrame:
     return counted.agg(F.coalesce(F.bool_and(done), F.lit(False)).alias("complete"))
 
 
-def _attempts_left(axis: str) -> Column:
-    used = F.expr(f"try_variant_get(metrics, '$.{axis}.attempts', 'int')")
-    return used.isNull() | (used < config.JUDGE_ATTEMPTS)
+def attempts(axis: str) -> Column:
+    """How often judging an axis has failed; null if never tried."""
+    return F.expr(f"try_variant_get(metrics, '$.{axis}.attempts', 'int')")
+
+
+def owed_axes(force: bool = False) -> Column:
+    """The axes that a judge still owes a log."""
+    filled = {"faithfulness": F.coalesce(F.length("context"), F.lit(0)) > 0, "relevance": F.lit(True), "completeness": F.coalesce(F.length("reference_answer"), F.lit(0)) > 0}
+    left = {axis: F.lit(True) if force else F.coalesce(attempts(axis), F.lit(0)) < config.JUDGE_ATTEMPTS for axis in filled}
+    return F.array_compact(F.array(*[F.when(F.col(axis).isNull() & ready & left[axis], F.lit(axis)) for axis, ready in filled.items()]))
 
 
 def judge_worklist(logs: DataFrame, force: bool = False) -> DataFrame:
     """Logs with the axes a judge still owes: (id, axes). ``metrics`` is a VARIANT with
     attempts by axis. ``force`` takes given logs whatever their attempts."""
-    filled = {"faithfulness": F.coalesce(F.length("context"), F.lit(0)) > 0, "relevance": F.lit(True), "completeness": F.coalesce(F.length("reference_answer"), F.lit(0)) > 0}
-    owed = {axis: F.col(axis).isNull() & ready & (F.lit(True) if force else _attempts_left(axis)) for axis, ready in filled.items()}
-    axes = F.array_compact(F.array(*[F.when(flag, F.lit(axis)) for axis, flag in owed.items()]))
-    return logs.filter("answered").select("id", axes.alias("axes")).filter(F.size("axes") > 0)
+    return logs.filter("answered").select("id", owed_axes(force).alias("axes")).filter(F.size("axes") > 0)
 
 
 def evidence_context(messages: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ from lodestone import config
 EXPERIMENT = (("draft", "running"), ("running", "aggregated"), ("running", "failed"), ("aggregated", "concluded"))
 INTEGRATION = (("draft", "active"), ("active", "unreachable"), ("unreachable", "active"), ("active", "disabled"), ("unreachable", "disabled"), ("disabled", "active"))
 
+# Types of jobs.
+HANDLERS = ("index_data", "embed_questions", "paraphrase_questions", "eval_run", "judge_answers", "pull_llm_model", "delete_llm_model", "check_mcp_health")
+
 STATE = "status string, attempts int, wait_s long"
 
 
@@ -55,9 +58,55 @@ def claim_next(jobs: DataFrame, now: Column, lane: str = "default") -> DataFrame
 
 
 def claim_each_lane(jobs: DataFrame, now: Column) -> DataFrame:
+    """The oldest due job of every lane, by partial minima."""
     due = jobs.filter((F.col("status") == "new") & (F.col("apply_since") <= now))
-    place = Window.partitionBy("queue").orderBy("apply_since", "id")
-    return due.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*jobs.columns), F.struct("apply_since", "id"))
+    return due.groupBy(F.col("queue").alias("lane")).agg(first.alias("job")).select("job.*")
+
+
+def claimed(jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs with the next one of each lane as running."""
+    taken = claim_each_lane(jobs, now).select("id", F.lit("running").alias("now_"))
+    return jobs.join(taken, "id", "left").withColumn("status", F.coalesce("now_", "status")).select(*jobs.columns)
+
+
+def enqueue(jobs: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+    """jobs and fresh (type, queue, options) as new ones that are due at once. Ids are
+    above all others and unequal, but not gapless, as tasks give them on their own."""
+    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    rows = fresh.select("type", "queue", "options").withColumn("n", F.monotonically_increasing_id()).join(F.broadcast(top), F.lit(True))
+    rows = rows.select((F.col("top") + F.col("n") + 1).alias("id"), "type", "queue", F.lit("new").alias("status"), "options", now.alias("apply_since"))
+    return jobs.unionByName(rows)
+
+
+def unhandled(jobs: DataFrame, handlers=HANDLERS) -> DataFrame:
+    """The jobs that fail as nothing handles their type: (id, error)."""
+    return jobs.filter(~F.col("type").isin(*handlers)).select("id", F.concat(F.lit("no handler for type "), "type").alias("error"))
+
+
+def readiness(jobs: DataFrame, models: DataFrame) -> DataFrame:
+    """jobs with ``step``: run, or defer while the model in their options isn't ready, or
+    pull where models (name, status) doesn't have it."""
+    wanted = jobs.withColumn("model", F.get_json_object("options", "$.model"))
+    known = models.select(F.col("name").alias("model"), F.col("status").alias("model_status"))
+    step = F.when(F.col("model").isNull() | (F.col("model_status") == "ready"), "run").when(F.col("model_status").isNull(), "pull").otherwise("defer")
+    return wanted.join(known, "model", "left").withColumn("step", step).select(*jobs.columns, "model", "step")
+
+
+def pull_jobs(names: DataFrame) -> DataFrame:
+    """(type, queue, options): a pull for every distinct model name."""
+    named = names.select("name").distinct()
+    return named.select(F.lit("pull_llm_model").alias("type"), F.lit("io").alias("queue"), F.to_json(F.struct("name")).alias("options"))
+
+
+def pulled(models: DataFrame, name: str) -> DataFrame:
+    """models after a pull: that one is ready."""
+    return models.withColumn("status", F.when(F.col("name") == name, "ready").otherwise(F.col("status")))
+
+
+def may_move(before: Column, after: Column, legal=INTEGRATION) -> Column:
+    """Whether a status may follow another; staying is no move and always may be."""
+    return (before == after) | F.concat_ws(">", before, after).isin(*[f"{a}>{b}" for a, b in legal])
 
 
 def cancelled(jobs: DataFrame, job_id: int) -> DataFrame:
