@@ -196,7 +196,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: Fraction) ->
     """The pairs (a, b) whose sets reach the threshold, compared whole. The joins are
     sort-merge joins whatever the size, so that volumes grow with the pairs."""
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = shared.cut(sets_of(docs, shared.cut(nodes, "nodes"), k), "sets")
+    nodes = shared.cut(nodes, "nodes")
+    sets = shared.cut(sets_of(docs, nodes, k), "sets")
+    shared.discard(nodes)
     left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     common = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
@@ -282,19 +284,25 @@ def _joined(docs: DataFrame, k: int, threshold: Fraction, leader_rounds: int) ->
     rows = shared.cut(prefixes(docs, k, threshold, order), "prefixes")
     copies = rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sig", "node")
     copies = shared.cut(copies, "copies")
-    owned = rows.join(copies.hint("merge"), "sig", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
-    firsts = owned.filter("sig is not null and doc_id = node")
+    named = rows.join(copies.hint("merge"), "sig", "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
+    firsts = named.filter("sig is not null and doc_id = node")
     base = F.col("n") - F.expr(f"(n * {threshold.numerator} + {threshold.denominator - 1}) div {threshold.denominator}") + 1
     postings = firsts.select("node", "n", base.alias("base"), F.posexplode("prefix").alias("pos", "token")).withColumn("most", F.least(F.lit(MOST_MATCHES).cast("long"), F.col("n") - F.col("base") + 1))
     shared_tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    live = shared.cut(postings.join(shared_tokens.hint("merge"), "token"), "postings")
-    live = shared.cut(_chosen(live).withColumn("label", F.col("node")), "chosen")
+    every = shared.cut(postings.join(shared_tokens.hint("merge"), "token"), "postings")
+    owned = shared.cut(named.select("doc_id", "n", "node"), "owned")
+    shared.discard(rows)
+    shared.discard(copies)
+    live = shared.cut(_chosen(every).withColumn("label", F.col("node")), "chosen")
+    shared.discard(every)
     edges = None
     for turn in range(leader_rounds):
         pairs = shared.cut(_leaders(live, turn % 2 == 1, threshold), "leaders")
         found = verified(pairs.select("a", "b"), docs, k, threshold)
         edges = found if edges is None else edges.unionAll(found)
-        live = shared.cut(_labelled(live, pairs.join(found.hint("merge"), ["a", "b"]).select("la", "lb")), "labelled")
+        before, live = live, shared.cut(_labelled(live, pairs.join(found.hint("merge"), ["a", "b"]).select("la", "lb")), "labelled")
+        shared.discard(before)
+        shared.discard(pairs)
     mixed = live.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     open_ = live.join(mixed.hint("merge"), "token")
     right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("pos").alias("pb"))
@@ -306,7 +314,10 @@ def _joined(docs: DataFrame, k: int, threshold: Fraction, leader_rounds: int) ->
     for side in ("a", "b"):
         pairs = pairs.hint("merge").join(heads.select(F.col("node").alias(side), F.col("head").alias(f"h{side}"), F.col("need").alias(f"e{side}")), side)
     pairs = pairs.filter(F.size(F.array_intersect("ha", "hb")) >= F.least("ea", "eb")).select("a", "b")
-    found = verified(shared.cut(pairs, "pairs"), docs, k, threshold)
+    pairs = shared.cut(pairs, "pairs")
+    shared.discard(live)
+    found = verified(pairs, docs, k, threshold)
+    shared.discard(pairs)
     linked = graph.components(found if edges is None else edges.unionAll(found))
     return owned.join(linked.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
