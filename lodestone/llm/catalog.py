@@ -20,6 +20,8 @@ for _name in (
     "q08_suffix_dedup",
     "q09_sharding",
     "q10_packing",
+    "q11_filter_audit",
+    "q13_fill_in_middle",
 ):
     _module = importlib.import_module(f"lodestone.llm.{_name}")
     QUERIES |= _module.QUERIES
