@@ -21,6 +21,7 @@ for _name in (
     "q09_sharding",
     "q10_packing",
     "q11_filter_audit",
+    "q12_embedding_near_dedup",
     "q13_fill_in_middle",
 ):
     _module = importlib.import_module(f"lodestone.llm.{_name}")
