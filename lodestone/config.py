@@ -30,7 +30,8 @@ NO_RESULTS = "No relevant documents found."
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Parameters of one hybrid search; ``limit`` of 0 is refused."""
+    """Parameters of one hybrid search; ``limit`` of 0 is refused. ``probes`` cells of
+    the vector index are read; None reads all that a result can be in."""
 
     distance_threshold: float = DISTANCE_THRESHOLD
     limit: int = RESULTS_LIMIT
@@ -39,6 +40,7 @@ class SearchConfig:
     rrf_k: int = RRF_K
     rerank: bool = False
     candidates: int = RERANK_CANDIDATES
+    probes: int | None = None
 
     def __post_init__(self):
         if min(self.limit, self.limit_vector, self.limit_keywords, self.candidates) < 1:
@@ -53,6 +55,6 @@ class SearchConfig:
                 inside = line.strip() == "search:"
             elif inside and ":" in line:
                 key, value = (x.strip() for x in line.split("#")[0].split(":", 1))
-                kind = type(getattr(cls(), key))
+                kind = int if key == "probes" else type(getattr(cls(), key))
                 found[key] = value == "true" if kind is bool else kind(value)
         return replace(cls(), **found)

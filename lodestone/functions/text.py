@@ -7,16 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions import stemming
+
 #: From coarse to fine; what no separator cuts is sliced.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 SECTION = "\n## "
 
-# Stop words that lexemes leave out, by text-search configuration.
-STOP_WORDS = {
-    "english": ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"),
-    "russian": ("а", "в", "во", "и", "из", "к", "на", "не", "но", "о", "от", "по", "с", "со", "у", "что", "это"),
-    "simple": (),
-}
+#: What full-text search takes for words.
+WORD = r"[\p{L}\p{N}]+"
 
 
 def header_chunks(text: Column) -> Column:
@@ -87,11 +85,22 @@ def title_of(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(line, "^#+", "")), F.lit(""))
 
 
-def lexemes(text: Column, configuration: str = "simple") -> Column:
-    """Small-letter runs of letters in order, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    stop = STOP_WORDS[configuration]
-    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+def words(text: Column) -> Column:
+    """Small-letter runs of letters and digits in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def placed_lexemes(text: Column, configuration: str | Column = "simple") -> Column:
+    """The lexeme of every word of a text at the word's place; stop words are empty. The
+    ``simple`` configuration has neither stems nor stop words."""
+    if isinstance(configuration, str):
+        return words(text) if configuration == "simple" else stemming.placed_lexemes(words(text), F.lit(configuration))
+    return stemming.placed_lexemes(words(text), configuration)
+
+
+def lexemes(text: Column, configuration: str | Column = "simple") -> Column:
+    """The lexemes of a text in order, without stop words."""
+    return F.filter(placed_lexemes(text, configuration), lambda w: w != "")
 
 
 def search_configuration(language: Column) -> Column:
@@ -99,22 +108,11 @@ def search_configuration(language: Column) -> Column:
     return F.when(language.startswith("rus"), "russian").when(language.startswith("eng"), "english").otherwise("simple")
 
 
-def detected_configuration(query: Column) -> Column:
-    """The configuration of a question, from its script."""
-    return F.when(query.rlike("[А-Яа-яЁё]"), "russian").otherwise("english")
-
-
 def all_present(wanted: Column, held: Column) -> Column:
     """Whether every wanted lexeme is held; an empty query matches nothing."""
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, held)) == 0)
 
 
-def keyword_rank(wanted: Column, held: Column) -> Column:
-    """Share of a document's lexemes that are wanted, 9 digits."""
-    hits = F.size(F.filter(held, lambda w: F.array_contains(wanted, w)))
-    return F.round(hits.cast("double") / F.greatest(F.size(held), F.lit(1)), 9)
-
-
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

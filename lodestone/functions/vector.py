@@ -26,10 +26,11 @@ def cosine_distance(a: Column, b: Column, digits: int = 9) -> Column:
     return F.round(1 - dot(a, b) / (norm(a) * norm(b)), digits) + F.lit(0.0)
 
 
-def distance_to(a: Column, query, digits: int = 9) -> Column:
-    """cosine_distance() to a constant vector, whose norm is computed here once."""
-    length = math.sqrt(sum(float(v) ** 2 for v in query))
-    return F.round(1 - dot(a, literal(query)) / (norm(a) * F.lit(length)), digits) + F.lit(0.0)
+def distance_to(a: Column, query, digits: int = 9, length: Column | None = None) -> Column:
+    """cosine_distance() to a constant vector, whose norm is computed here once; ``length``
+    is the norm of ``a`` where it is stored."""
+    own = math.sqrt(sum(float(v) ** 2 for v in query))
+    return F.round(1 - dot(a, literal(query)) / ((norm(a) if length is None else length) * F.lit(own)), digits) + F.lit(0.0)
 
 
 def rrf(rank: Column, k: int = 60) -> Column:

@@ -12,8 +12,7 @@ from lodestone.functions import text
 def chunk_rows(documents: DataFrame, size: int = config.CHUNK_SIZE) -> DataFrame:
     """(source, corpus, category, language, chunk_index, content, lexemes) of documents."""
     rows = documents.select("source", "corpus", "category", "language", F.posexplode(text.chunks(F.col("text"), size)).alias("chunk_index", "content"))
-    by_language = F.when(F.col("language").startswith("eng"), text.lexemes(F.col("content"), "english")).when(F.col("language").startswith("rus"), text.lexemes(F.col("content"), "russian")).otherwise(text.lexemes(F.col("content")))
-    return rows.withColumn("lexemes", by_language)
+    return rows.withColumn("lexemes", text.placed_lexemes(F.col("content"), text.search_configuration(F.coalesce("language", F.lit("")))))
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

@@ -1,8 +1,7 @@
-"""Hybrid retrieval over a chunk table.
+"""Hybrid retrieval over a search index.
 
-Chunks have (id, source, content, embedding, category, chunk_index, lexemes). Filters come
-before every top-N, both legs carry ids and scores only, and content is looked up for the
-fused rows at the end.
+Both legs read their own table of the index (vectors by cell, postings by lexeme), filter
+before every top-N and carry ids and scores; content is looked up for the fused rows.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.config import SearchConfig
-from lodestone.functions import text, vector
+from lodestone.functions import blocks, ranking, text, vector
+from lodestone.operators.searchindex import SearchIndex
 
 _CATEGORY = re.compile(r"[a-zA-Z0-9_.-]+")
 
@@ -27,26 +27,37 @@ def checked_category(category: str) -> str:
     return category
 
 
-def eligible(chunks: DataFrame, active_sources: DataFrame | None, category: str | None) -> DataFrame:
-    """Chunks of active sources (a column ``source``) within a category."""
+def eligible(rows: DataFrame, index: SearchIndex, active_sources: DataFrame | None = None, category: str | None = None) -> DataFrame:
+    """The rows of a table of the index that are of active sources (a column ``source``)
+    and within a category."""
     if category:
-        chunks = chunks.filter(text.in_category(F.col("category"), checked_category(category)))
+        rows = index.in_category(rows, checked_category(category))
     if active_sources is not None:
-        chunks = chunks.join(active_sources.select("source").distinct(), "source", "left_semi")
-    return chunks
+        rows = rows.join(active_sources.select("source").distinct(), "source", "left_semi")
+    return rows
 
 
-def vector_leg(chunks: DataFrame, query, cfg: SearchConfig) -> DataFrame:
-    """(id, vector_distance, vector_rank) of the nearest chunks within the threshold."""
-    near = chunks.select("id", vector.distance_to(F.col("embedding"), query).alias("vector_distance")).filter(F.col("vector_distance") <= cfg.distance_threshold)
+def vector_leg(index: SearchIndex, query, cfg: SearchConfig, active_sources: DataFrame | None = None, category: str | None = None) -> DataFrame:
+    """(id, vector_distance, vector_rank) of the nearest chunks within the threshold.
+    ``cfg.probes`` nearest cells are read; without it all that can hold such a chunk."""
+    cells = index.probed(query, cfg.probes, cfg.distance_threshold)
+    rows = eligible(index.vectors.filter(F.col("cell").isin(cells) if cells else F.lit(False)), index, active_sources, category)
+    near = rows.select("id", vector.distance_to(F.col("embedding"), query, length=F.col("norm")).alias("vector_distance")).filter(F.col("vector_distance") <= cfg.distance_threshold)
     top = near.orderBy("vector_distance", "id").limit(cfg.limit_vector)
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy("vector_distance", "id")))
 
 
-def keyword_leg(chunks: DataFrame, wanted: list[str], cfg: SearchConfig) -> DataFrame:
+def _hits(word: Column) -> Column:
+    """The places of all lexemes of a match in order, each with its lexeme."""
+    return F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), word.alias("word"))))))
+
+
+def keyword_leg(index: SearchIndex, wanted: list[str], cfg: SearchConfig, active_sources: DataFrame | None = None, category: str | None = None) -> DataFrame:
     """(id, keyword_score, keyword_rank) of the best chunks that hold every lexeme."""
-    terms = F.array(*[F.lit(w) for w in dict.fromkeys(wanted)]).cast("array<string>")
-    hits = chunks.filter(text.all_present(terms, F.col("lexemes"))).select("id", text.keyword_rank(terms, F.col("lexemes")).alias("keyword_score"))
+    words = [w for w in dict.fromkeys(wanted) if w]
+    held = eligible(index.postings.filter(F.col("lexeme").isin(words) if words else F.lit(False)), index, active_sources, category)
+    found = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"), _hits(F.col("lexeme")).alias("hits")).filter(F.col("n") == len(words))
+    hits = found.select("id", ranking.ts_rank(F.col("hits"), F.col("n")).alias("keyword_score"))
     top = hits.orderBy(F.desc("keyword_score"), "id").limit(cfg.limit_keywords)
     return top.withColumn("keyword_rank", F.row_number().over(Window.orderBy(F.desc("keyword_score"), "id")))
 
@@ -58,43 +69,41 @@ def fuse(vectors: DataFrame, keywords: DataFrame, cfg: SearchConfig, by: tuple[s
     return both.withColumn("score", F.round(score, 9))
 
 
-def hybrid_search(chunks: DataFrame, query, wanted: list[str], cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, category: str | None = None) -> DataFrame:
+def hybrid_search(index: SearchIndex, query, wanted: list[str], cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, category: str | None = None) -> DataFrame:
     """The ``limit`` best chunks of one question: vector leg, keyword leg, rank fusion."""
-    open_ = eligible(chunks, active_sources, category)
-    fused = fuse(vector_leg(open_, query, cfg), keyword_leg(open_, wanted, cfg), cfg)
+    fused = fuse(vector_leg(index, query, cfg, active_sources, category), keyword_leg(index, wanted, cfg, active_sources, category), cfg)
     best = fused.orderBy(F.desc("score"), "id").limit(cfg.candidates if cfg.rerank else cfg.limit)
-    return best.join(open_.select("id", "content", "source", "category", "chunk_index"), "id")
+    return index.chunks.select("id", "content", "source", "category", "chunk_index").join(F.broadcast(best), "id")  # a handful of rows
+
 
+def matches_of_many(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, id, n, hits) of the chunks that hold every lexeme of a question, from
+    (query_id, lexeme). Candidates come from each question's rarest lexeme only; the other
+    lexemes are looked up for them by lexeme and id, so that frequent ones cost no more
+    than the candidates."""
+    asked = words.select("lexeme").distinct()
+    rare = postings.join(asked, "lexeme").groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    sized = words.join(rare, "lexeme", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lexeme")).alias("rarest"))
+    seeds = sized.filter("rarest.df > 0").select("query_id", "needed", F.col("rarest.lexeme").alias("lexeme"))
+    candidates = postings.select("lexeme", "id").join(seeds, "lexeme").select("query_id", "needed", "id")
+    found = candidates.join(words, "query_id").join(postings.select("lexeme", "id", "places"), ["lexeme", "id"])
+    return found.groupBy("query_id", "id").agg(F.first("needed").alias("needed"), F.count(F.lit(1)).alias("n"), _hits(F.col("lexeme")).alias("hits")).filter("n = needed").drop("needed")
 
-def search_many(chunks: DataFrame, questions: DataFrame, cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None) -> DataFrame:
+
+def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None) -> DataFrame:
     """hybrid_search() for a table of questions (query_id, query_embedding,
-    query_lexemes): one job for a whole evaluation.
-
-    The vector leg compares all chunks with a stated query set, which is broadcast only
-    where Spark finds it small. The keyword leg is a posting-list equi join.
-    """
-    open_ = eligible(chunks, active_sources, None)
-    asked = questions.filter("query_embedding is not null").select("query_id", "query_embedding")
-    distance = vector.cosine_distance(F.col("embedding"), F.col("query_embedding"))
-    near = open_.select("id", "embedding").join(asked, F.lit(True)).select("query_id", "id", distance.alias("vector_distance")).filter(F.col("vector_distance") <= cfg.distance_threshold)
-    by_distance = Window.partitionBy("query_id").orderBy("vector_distance", "id")
-    vectors = near.withColumn("vector_rank", F.row_number().over(by_distance)).filter(F.col("vector_rank") <= cfg.limit_vector)
-    words = questions.select("query_id", F.explode(F.array_distinct("query_lexemes")).alias("lexeme"), F.size(F.array_distinct("query_lexemes")).alias("needed"))
-    postings = postings_of(open_)
-    hits = words.join(postings, "lexeme").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    scored = hits.filter("n = needed").select("query_id", "id", F.round(F.col("tf").cast("double") / F.col("length"), 9).alias("keyword_score"))
+    query_lexemes): one job for a whole evaluation. The vector leg compares blocks of
+    questions with all vectors, the keyword leg joins posting lists."""
+    vectors = blocks.nearest(eligible(index.vectors, index, active_sources), questions, cfg.limit_vector, cfg.distance_threshold)
+    words = questions.select("query_id", F.explode(F.array_distinct("query_lexemes")).alias("lexeme")).filter("lexeme <> ''")
+    matched = matches_of_many(eligible(index.postings, index, active_sources), words)
+    scored = matched.select("query_id", "id", ranking.ts_rank(F.col("hits"), F.col("n")).alias("keyword_score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "id")
     keywords = scored.withColumn("keyword_rank", F.row_number().over(by_score)).filter(F.col("keyword_rank") <= cfg.limit_keywords)
     fused = fuse(vectors, keywords, cfg, ("query_id",))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.limit)
-    return top.join(open_.select("id", "source", "category"), "id")
-
-
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """The inverted index (lexeme, id, tf, length)."""
-    words = chunks.select("id", F.size("lexemes").alias("length"), F.explode("lexemes").alias("lexeme"))
-    return words.groupBy("lexeme", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return top.join(index.chunks.select("id", "source", "category"), "id")
 
 
 def token_overlap(query: Column, content: Column) -> Column:

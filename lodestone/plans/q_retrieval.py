@@ -2,48 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import SearchConfig
-from lodestone.functions import text, vector
-from lodestone.operators import corpus, evals, retrieval
+from lodestone.functions import blocks, language, stemming, text, vector
+from lodestone.operators import corpus, evals, retrieval, searchindex
 from lodestone.plans import base
-from lodestone.plans.base import CHUNKS, QUESTION, THRESHOLD
+from lodestone.plans.base import CHUNKS, PLACED, QUESTION, THRESHOLD, WORD, english_stems
+from lodestone.plans.base import STOPS as _STOPS
 from lodestone.plans.catalog import query
 
 CFG = SearchConfig(distance_threshold=THRESHOLD)
 _TERMS = "[" + ", ".join(f"'{w}'" for w in QUESTION) + "]"
-_OPEN = f"""WITH {CHUNKS}, open AS (SELECT * FROM chunks WHERE source NOT LIKE '%3')"""
+_OPEN = f"""WITH {CHUNKS}, {PLACED}, open AS (SELECT * FROM chunks WHERE source NOT LIKE '%3')"""
 _VECTORS = f"""v AS (SELECT id, vector_distance, row_number() OVER (ORDER BY vector_distance, id) AS vector_rank FROM (
   SELECT id, round(list_cosine_distance(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) + 0 AS vector_distance FROM open WHERE embedding IS NOT NULL)
   WHERE vector_distance <= {THRESHOLD} ORDER BY vector_distance, id LIMIT 20)"""
-_KEYWORDS = f"""k AS (SELECT id, keyword_score, row_number() OVER (ORDER BY keyword_score DESC, id) AS keyword_rank FROM (
-  SELECT id, round(len(list_filter(lexemes, lambda w: list_contains({_TERMS}, w)))::DOUBLE / greatest(len(lexemes), 1), 9) AS keyword_score
-  FROM open WHERE list_has_all(lexemes, {_TERMS})) ORDER BY keyword_score DESC, id LIMIT 20)"""
+
+
+def _ranked(source: str, by: str = "") -> str:
+    """``matched`` (id, keyword_score): ts_rank over (id, pos, lexeme, m) where all m lexemes of a question are held."""
+    key = f"{by}id"
+    return f"""hits AS ({source}),
+full_ AS (SELECT {key}, any_value(m) AS m, count(*) AS places FROM hits GROUP BY {key} HAVING count(DISTINCT lexeme) = any_value(m)),
+pairs AS (SELECT {", ".join(f"a.{c.strip()}" for c in key.split(","))}, sum(ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005 + 0.05 * exp((b.pos - a.pos) / 1.5::DOUBLE - 2))))) AS logs
+  FROM (SELECT h.* FROM hits h JOIN full_ USING ({key})) a JOIN (SELECT h.* FROM hits h JOIN full_ USING ({key})) b USING ({key}) WHERE a.lexeme <> b.lexeme AND b.pos > a.pos AND b.pos <= a.pos + 100 GROUP BY ALL),
+matched AS (SELECT {key}, round(CASE WHEN m = 1 THEN 0.1::DOUBLE * list_sum(list_transform(range(1, places + 1), lambda j: 1 / (j * j)::DOUBLE)) / 1.64493406685::DOUBLE ELSE 1 - exp(coalesce(logs, 0)) END, 9) + 0 AS keyword_score FROM full_ LEFT JOIN pairs USING ({key}))"""
+
+
+_KEYWORDS = f"""{_ranked(f"SELECT id, pos, lexeme, {len(QUESTION)} AS m FROM placed JOIN open USING (id) WHERE list_contains({_TERMS}, lexeme)")},
+k AS (SELECT id, keyword_score, row_number() OVER (ORDER BY keyword_score DESC, id) AS keyword_rank FROM matched ORDER BY keyword_score DESC, id LIMIT 20)"""
 _FUSED = """fused AS (SELECT coalesce(v.id, k.id) AS id, vector_distance, vector_rank, keyword_score, keyword_rank,
   round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score FROM v FULL JOIN k ON v.id = k.id)"""
 
 
-def _open(spark, sf_dir):
-    return retrieval.eligible(base.chunks(spark, sf_dir), base.active_sources(spark, sf_dir), None)
+def _lexemes_of_question() -> list[str]:
+    """The question's lexemes in the configuration of its language."""
+    configuration = language.configuration_of(" ".join(QUESTION))
+    return [stemming.lexeme(w, configuration) for w in QUESTION]
+
+
+@query("c5_search_index", f"""WITH {CHUNKS}, {PLACED} SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT lexeme) FROM placed) AS lexemes, (SELECT count(*) FROM placed) AS places,
+  (SELECT count(*) FROM chunks WHERE embedding IS NOT NULL) AS vectors, (SELECT count(DISTINCT category) + count(DISTINCT lang) FROM (SELECT category, language AS lang FROM chunks)) AS nodes""")
+def c5_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that the searches read, written on first use; what its tables hold."""
+    index = base.index(spark, sf_dir)
+    count = F.count(F.lit(1))
+    held = index.postings.groupBy("lexeme").agg(F.sum(F.size("places")).alias("n")).agg(count.alias("lexemes"), F.sum("n").alias("places"))
+    sizes = [index.chunks.agg(count.alias("chunks")), held, index.vectors.agg(count.alias("vectors")), index.nodes.agg(count.alias("nodes"))]
+    return sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2]).crossJoin(sizes[3])  # one row each
 
 
 @query("x1_hybrid_search", f"""{_OPEN}, {_VECTORS}, {_KEYWORDS}, {_FUSED}
 SELECT f.*, c.source, c.category, length(c.content) AS n_chars FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 5) f JOIN chunks c USING (id)""")
 def x1_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.hybrid_search(base.chunks(spark, sf_dir), base.query_vector(spark, sf_dir), list(QUESTION), CFG, base.active_sources(spark, sf_dir))
+    found = retrieval.hybrid_search(base.index(spark, sf_dir), base.query_vector(spark, sf_dir), _lexemes_of_question(), CFG, base.active_sources(spark, sf_dir))
     return found.select("id", "vector_distance", "vector_rank", "keyword_score", "keyword_rank", "score", "source", "category", F.length("content").alias("n_chars"))
 
 
 @query("o1_vector_leg", f"{_OPEN}, {_VECTORS} SELECT * FROM v")
 def o1_vector_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_leg(_open(spark, sf_dir), base.query_vector(spark, sf_dir), CFG)
+    return retrieval.vector_leg(base.index(spark, sf_dir), base.query_vector(spark, sf_dir), CFG, base.active_sources(spark, sf_dir))
+
+
+@query("s18_probed_neighbours")
+def s18_probed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest chunks of every vector whose id 20 divides, from as few cells as
+    give a recall of 0.95 against the exact scan."""
+    index, asked = base.index(spark, sf_dir), _asked(spark, sf_dir)
+    return searchindex.probed_nearest(index, asked, 10, searchindex.calibrated(index, asked, 10)[0])
 
 
 @query("o2_keyword_leg", f"{_OPEN}, {_KEYWORDS} SELECT * FROM k")
 def o2_keyword_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyword_leg(_open(spark, sf_dir), list(QUESTION), CFG)
+    return retrieval.keyword_leg(base.index(spark, sf_dir), _lexemes_of_question(), CFG, base.active_sources(spark, sf_dir))
 
 
 @query("p1_within_distance", """SELECT vec_id, d AS vector_distance FROM (SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) + 0 AS d FROM embeddings) WHERE d <= 0.95""")
@@ -54,28 +87,37 @@ def p1_within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_in_category", f"WITH {CHUNKS} SELECT id, category FROM chunks WHERE contains('.' || category || '.', '.src7.')")
 def p2_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.eligible(base.chunks(spark, sf_dir), None, "src7").select("id", "category")
+    """A range of the pre-order of categories, pushed down to the files."""
+    index = base.index(spark, sf_dir)
+    return retrieval.eligible(index.chunks, index, None, "src7").select("id", "category")
+
+
+@query("s20_category_nodes", f"""WITH {CHUNKS}, p AS (SELECT DISTINCT unnest([string_split(category, '.')[1:i] FOR i IN range(1, len(string_split(category, '.')) + 1)]) AS l FROM chunks),
+n AS (SELECT l, row_number() OVER (ORDER BY l) AS pre FROM p)
+SELECT array_to_string(a.l, '.') AS category, a.pre, max(b.pre) AS last FROM n a JOIN n b ON b.l[1:len(a.l)] = a.l GROUP BY a.l, a.pre""")
+def s20_category_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.index(spark, sf_dir).nodes
 
 
 @query("p3_active_sources", f"WITH {CHUNKS} SELECT id, source FROM chunks WHERE source NOT LIKE '%3'")
 def p3_active_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _open(spark, sf_dir).select("id", "source")
+    index = base.index(spark, sf_dir)
+    return retrieval.eligible(index.chunks, index, base.active_sources(spark, sf_dir)).select("id", "source")
 
 
-@query("p4_full_text_match", f"WITH {CHUNKS} SELECT id FROM chunks WHERE list_has_all(lexemes, {_TERMS})")
+@query("p4_full_text_match", f"WITH {PLACED} SELECT id FROM placed WHERE list_contains({_TERMS}, lexeme) GROUP BY id HAVING count(DISTINCT lexeme) = {len(QUESTION)}")
 def p4_full_text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.array(*[F.lit(w) for w in QUESTION])
-    return base.chunks(spark, sf_dir).filter(text.all_present(terms, F.col("lexemes"))).select("id")
+    words = spark.createDataFrame([(0, w) for w in _lexemes_of_question()], "query_id long, lexeme string")
+    return retrieval.matches_of_many(base.index(spark, sf_dir).postings, words).select("id")
 
 
-_BATCH = f"""{_OPEN}, q AS (
-  SELECT b.item_id AS query_id, list_distinct_sorted AS words, e.embedding::DOUBLE[] AS qe FROM (
-    SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS list_distinct_sorted FROM benchmark) b
-  LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+_BATCH = f"""{_OPEN}, asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM benchmark),
+{english_stems("asked", "q")},
+qw AS (SELECT DISTINCT query_id, coalesce(stem, word) AS lexeme FROM asked LEFT JOIN qstems USING (word) WHERE word NOT IN ({_STOPS})),
 vv AS (SELECT query_id, id, vector_distance, row_number() OVER (PARTITION BY query_id ORDER BY vector_distance, id) AS vector_rank FROM (
-  SELECT query_id, id, round(list_cosine_distance(embedding, qe), 9) + 0 AS vector_distance FROM open, q WHERE embedding IS NOT NULL AND qe IS NOT NULL) WHERE vector_distance <= {THRESHOLD}),
-kk AS (SELECT query_id, id, keyword_score, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, id) AS keyword_rank FROM (
-  SELECT query_id, id, round(len(list_filter(lexemes, lambda w: list_contains(words, w)))::DOUBLE / len(lexemes), 9) AS keyword_score FROM open, q WHERE len(words) > 0 AND list_has_all(lexemes, words))),
+  SELECT b.item_id AS query_id, o.id, round(list_cosine_distance(o.embedding, e.embedding::DOUBLE[]), 9) + 0 AS vector_distance FROM open o, benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE o.embedding IS NOT NULL) WHERE vector_distance <= {THRESHOLD}),
+{_ranked("SELECT q.query_id, p.id, p.pos, p.lexeme, m FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM qw) q JOIN placed p USING (lexeme) JOIN open USING (id)", "query_id, ")},
+kk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, id) AS keyword_rank FROM matched),
 ff AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.id, k.id) AS id, vector_distance, vector_rank, keyword_score, keyword_rank,
   round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score
   FROM (SELECT * FROM vv WHERE vector_rank <= 20) v FULL JOIN (SELECT * FROM kk WHERE keyword_rank <= 20) k ON v.id = k.id AND v.query_id = k.query_id),
@@ -84,27 +126,31 @@ SELECT r.*, c.source, c.category FROM rr r JOIN chunks c USING (id) WHERE rank <
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_sort(F.array_distinct(text.lexemes(F.col("text"))))
-    asked = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", words.alias("query_lexemes"))
+    """Benchmark items as questions, their lexemes in the configuration of the language
+    that the seed profiles give each."""
+    items = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    spoken = language.detected(items, "query_id", "text", language.seed_profiles(spark)).select("query_id", language.configured(F.col("language")).alias("configuration"))
+    asked = items.join(spoken, "query_id").select("query_id", "text", F.array_sort(F.array_distinct(text.lexemes(F.col("text"), F.col("configuration")))).alias("query_lexemes"))
     return asked.join(base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
 
 
 @query("x1_search_many", _BATCH)
 def x1_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_many(base.chunks(spark, sf_dir), questions_of(spark, sf_dir), CFG, base.active_sources(spark, sf_dir))
+    return retrieval.search_many(base.index(spark, sf_dir), questions_of(spark, sf_dir), CFG, base.active_sources(spark, sf_dir))
 
 
 @query("x2_rerank", f"""{_OPEN}, {_VECTORS}, {_KEYWORDS}, {_FUSED}, top AS (SELECT f.id, c.content FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 20) f JOIN chunks c USING (id))
 SELECT id, round(len(list_intersect({_TERMS}, list_distinct(regexp_extract_all(lower(content), '\\p{{L}}+'))))::DOUBLE / {len(QUESTION)}, 9) AS rerank_score FROM top ORDER BY rerank_score DESC, id LIMIT 5""")
 def x2_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = SearchConfig(distance_threshold=THRESHOLD, rerank=True)
-    found = retrieval.hybrid_search(base.chunks(spark, sf_dir), base.query_vector(spark, sf_dir), list(QUESTION), cfg, base.active_sources(spark, sf_dir))
+    found = retrieval.hybrid_search(base.index(spark, sf_dir), base.query_vector(spark, sf_dir), _lexemes_of_question(), cfg, base.active_sources(spark, sf_dir))
     return retrieval.rerank(found, lambda content: retrieval.token_overlap(F.lit(" ".join(QUESTION)), content), 5).select("id", "rerank_score")
 
 
-@query("s19_postings", f"WITH {CHUNKS} SELECT lexeme, id, count(*) AS tf, any_value(n)::INTEGER AS length FROM (SELECT id, len(lexemes) AS n, unnest(lexemes) AS lexeme FROM chunks) GROUP BY lexeme, id")
+@query("s19_postings", f"WITH {PLACED} SELECT lexeme, id, count(*)::INTEGER AS tf, md5(string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS places FROM placed GROUP BY lexeme, id")
 def s19_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.postings_of(base.chunks(spark, sf_dir))
+    """The whole inverted index; places as a digest."""
+    return base.index(spark, sf_dir).postings.select("lexeme", "id", F.size("places").alias("tf"), F.md5(F.array_join(F.col("places").cast("array<string>"), ",").cast("binary")).alias("places"))
 
 
 @query("w3_take_sources", """WITH r AS (SELECT conv_id, turn, 'd/' || role || (turn % 3) || '.md' AS source FROM conversations),
@@ -165,7 +211,10 @@ SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_distance(e.embedding::D
 FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
 def w1_ranked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id 20 divides, among all vectors."""
-    rows = base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = rows.join(asked, F.lit(True)).select("query_id", "vec_id", vector.cosine_distance(F.col("embedding"), F.col("q")).alias("vector_distance"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("vector_distance", "vec_id"))).filter("rank <= 10")
+    rows = base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = blocks.nearest(rows, _asked(spark, sf_dir), 10)
+    return near.select("query_id", F.col("id").alias("vec_id"), "vector_distance", F.col("vector_rank").alias("rank"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
