@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone import config
 from lodestone.functions import text
 from lodestone.operators import evals, listing, models, retrieval
+from lodestone.operators.searchindex import SearchIndex
 from lodestone.streaming import queue
 
 # Names of languages in a directive.
@@ -59,17 +60,22 @@ def dispatched(calls: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def answers(questions: DataFrame, found: DataFrame, generate: Callable[[Column], Column] = models.extractive_answer, k: int = config.RESULTS_LIMIT) -> DataFrame:
-    """One answer for each question (query_id, question, language) from the chunks found
-    for it (query_id, rank, source, content). Without a context no model is asked."""
-    contexts = retrieval.context_of(found, ("query_id",), "rank")
-    listed = F.array_sort(F.collect_list(F.struct("rank", "source")))  # k a question
-    shown = retrieval.take_sources(found, k, ("query_id",), "rank").groupBy("query_id").agg(F.transform(listed, lambda s: s["source"]).alias("sources"))
-    rows = questions.join(contexts, "query_id", "left").join(shown, "query_id", "left")
+    """One answer for each question (query_id, question, language) from the first k chunks
+    found for it (query_id, rank, source, content); ignored files are neither context nor
+    source. Without a context no model is asked."""
+    rows = questions.join(retrieval.shown(found, k), "query_id", "left")
     asked = F.concat_ws("\n\n", "context", F.concat(F.lit("Question: "), "question"), language_directive(F.col("language")))
     rows = rows.withColumn("answered", F.coalesce(F.length("context"), F.lit(0)) > 0)
     reply = generate(F.when(F.col("answered"), asked))
-    own = F.when(F.col("answered"), F.col("sources"))
-    return rows.select("query_id", "question", "answered", F.when(F.col("answered"), reply).otherwise(F.lit(config.NO_RESULTS)).alias("answer"), "context", F.coalesce(own, F.array().cast("array<string>")).alias("sources"))
+    return rows.select("query_id", "question", "answered", F.when(F.col("answered"), reply).otherwise(F.lit(config.NO_RESULTS)).alias("answer"), "context", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+
+
+def answer(index: SearchIndex, questions: DataFrame, embed: Callable[[Column], Column], generate: Callable[[Column], Column] = models.extractive_answer, cfg: config.SearchConfig = config.SearchConfig(), score: Callable[[Column, Column], Column] | None = None, active_sources: DataFrame | None = None) -> DataFrame:
+    """Single-shot answers: retrieval, with ``cfg.rerank`` the rerank of its candidates by
+    ``score``, context, generation, for questions (query_id, question, language)."""
+    ranked = (score or retrieval.token_overlap) if cfg.rerank else None
+    found = retrieval.search_questions(index, questions.select("query_id", "question"), embed, cfg, active_sources, ranked)
+    return answers(questions, found, generate, cfg.limit)
 
 
 def log_rows(answered: DataFrame, run_name: str | None, cfg: config.SearchConfig, used: dict[str, str], prompts: dict[str, int]) -> DataFrame:
@@ -89,21 +95,42 @@ def judge_jobs(logged: DataFrame) -> DataFrame:
 
 
 def agent_answers(turns: DataFrame, most: int = config.MAX_HOPS) -> DataFrame:
-    """The end of each conversation of (conv_id, hop, text, n_calls, sources), where
-    (conv_id, hop) is a key and hop counts from 0.
-
-    A turn that calls no tool is the last and gives the text; turns before it add their
-    sources. After ``most`` turns with calls, hop ``most`` is a forced last turn if there
-    are sources. An answer counts if it has text and a source."""
-    seen = F.array_sort(F.collect_list(F.struct("hop", "n_calls", "text", "sources")))  # at most + 1 a conversation
-    held = turns.filter(F.col("hop") <= most).groupBy("conv_id").agg(seen.alias("seen"))
-    held = held.withColumn("last", F.get(F.filter("seen", lambda t: (t["hop"] < most) & (t["n_calls"] == 0)), F.lit(0)))
-    held = held.withColumn("calls", F.filter("seen", lambda t: (t["hop"] < most) & (t["n_calls"] > 0) & (F.col("last").isNull() | (t["hop"] < F.col("last.hop")))))
-    held = held.withColumn("sources", F.flatten(F.transform("calls", lambda t: F.coalesce(t["sources"], F.array().cast("array<string>")))))
-    forced = F.when(F.size("sources") > 0, F.get(F.filter("seen", lambda t: t["hop"] == most), F.lit(0)))
-    held = held.withColumn("end", F.coalesce("last", forced))
-    answer = F.coalesce("end.text", F.lit(""))
-    return held.select("conv_id", answer.alias("text"), "sources", (F.size("calls") + F.col("end").isNotNull().cast("int")).alias("hops"), ((answer != "") & (F.size("sources") > 0)).alias("success"))
+    """The end of each conversation of (conv_id, hop, text, n_calls, sources,
+    prompt_tokens, completion_tokens), where (conv_id, hop) is a key and hop counts from 0.
+
+    What ``agent.run`` ends with if the model's n-th call gives the turn of hop n. A
+    missing turn is a failed call, which ends the loop. A turn that calls no tool is the
+    last and gives the text; turns before it add their sources, each once. With sources
+    and without a text the next turn is forced. An answer counts if it has text and a
+    source; without either it is the no-results sentence."""
+    counted = F.struct("hop", "n_calls", "text", "sources", "prompt_tokens", "completion_tokens")
+    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(counted)).alias("turns"))  # a conversation's turns
+    held = held.withColumn("seen", F.filter("turns", lambda t, i: (t["hop"] == i) & (t["hop"] < most)))
+    held = held.withColumn("last", F.get(F.filter("seen", lambda t: t["n_calls"] == 0), F.lit(0)))
+    held = held.withColumn("used", F.filter("seen", lambda t: (t["n_calls"] > 0) & (F.col("last").isNull() | (t["hop"] < F.col("last.hop")))))
+    held = held.withColumn("sources", F.array_distinct(F.flatten(F.transform("used", lambda t: F.coalesce(t["sources"], F.array().cast("array<string>"))))))
+    ended = F.col("last").isNotNull() | (F.size("used") < most)  # by the last turn, or by a failed call
+    held = held.withColumn("hops", F.size("used") + ended.cast("int"))
+    forced = F.get(F.filter("turns", lambda t: t["hop"] == F.col("hops")), F.lit(0))
+    need = (F.coalesce("last.text", F.lit("")) == "") & (F.size("sources") > 0)
+    held = held.withColumn("forced", F.when(need, forced))
+    held = held.withColumn("made", F.filter(F.concat("used", F.array("last", "forced")), lambda t: t.isNotNull()))
+    said = F.coalesce("forced.text", "last.text", F.lit(""))
+
+    def total(name: str) -> Column:
+        return F.aggregate("made", F.lit(0).cast("long"), lambda s, t: s + t[name])
+
+    largest = F.coalesce(F.array_max(F.transform("made", lambda t: t["prompt_tokens"].cast("long"))), F.lit(0))
+    return held.select(
+        "conv_id",
+        F.when((F.size("sources") == 0) & (said == ""), F.lit(config.NO_RESULTS)).otherwise(said).alias("text"),
+        "sources",
+        (F.col("hops") + F.col("forced").isNotNull().cast("int")).alias("hops"),
+        ((said != "") & (F.size("sources") > 0)).alias("success"),
+        total("prompt_tokens").alias("prompt_tokens"),
+        total("completion_tokens").alias("completion_tokens"),
+        largest.cast("long").alias("max_prompt_tokens"),
+    )
 
 
 def linked(rows: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone import config
+from lodestone import config, storage
 from lodestone.config import SearchConfig
-from lodestone.functions import blocks, ranking, text, vector
+from lodestone.functions import blocks, language, ranking, text, vector
 from lodestone.operators.searchindex import SearchIndex
 
 _CATEGORY = re.compile(r"[a-zA-Z0-9_.-]+")
@@ -106,6 +107,34 @@ def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = Se
     return top.join(index.chunks.select("id", "source", "category"), "id")
 
 
+def search_questions(index: SearchIndex, questions: DataFrame, embed: Callable[[Column], Column], cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(query_id, rank, source, content, ...) of the chunks found for questions (query_id,
+    question): each is embedded and read in the configuration of its own language. With
+    ``score`` the best candidates are ranked anew by it."""
+    spoken = language.detected(questions, "query_id", "question", language.seed_profiles(questions.sparkSession))
+    configuration = language.configured(F.col("language"))
+    asked = questions.join(spoken.select("query_id", configuration.alias("configuration")), "query_id")
+    ready = asked.select("query_id", "question", embed(F.col("question")).alias("query_embedding"), text.lexemes(F.col("question"), F.col("configuration")).alias("query_lexemes"))
+    ready = storage.cut(ready, "questions")  # a question is embedded once
+    wide = replace(cfg, limit=cfg.candidates) if score else cfg
+    found = search_many(index, ready, wide, active_sources).join(index.chunks.select("id", "content"), "id")
+    if score is None:
+        return found
+    scored = rerank(found.join(ready.select("query_id", "question"), "query_id"), score(F.col("question"), F.col("content")), cfg.limit, ("query_id",), ("rank",))
+    place = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    return scored.withColumn("rank", F.row_number().over(place)).drop("question")
+
+
+def shown(found: DataFrame, k: int, ignored=config.IGNORED_FILES) -> DataFrame:
+    """(query_id, context, sources) of found chunks (query_id, rank, source, content): the
+    first k in order are formatted, ignored files left out, each source listed once. A
+    question without any such chunk has no row."""
+    kept = found.filter((F.col("rank") <= k) & ~text.is_ignored(F.col("source"), ignored))
+    parts = F.array_sort(F.collect_list(F.struct("rank", "source", text.formatted_chunk(F.col("source"), F.col("content")).alias("t"))))  # k a question
+    rows = kept.groupBy("query_id").agg(parts.alias("p"))
+    return rows.select("query_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("context"), F.array_distinct(F.transform("p", lambda x: x["source"])).alias("sources"))
+
+
 def token_overlap(query: Column, content: Column) -> Column:
     """Offline stand-in for a cross encoder: share of the question's words in the text."""
     asked, held = F.array_distinct(text.lexemes(query)), F.array_distinct(text.lexemes(content))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone import config
+from lodestone import config, storage
 from lodestone.functions import text
-from lodestone.operators import flows
+from lodestone.operators import agent, flows, models
 from lodestone.plans import base
 from lodestone.plans.catalog import query
 from lodestone.streaming import queue
@@ -25,15 +25,16 @@ def _text(*parts) -> F.Column:
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    orders, lines = base.table(spark, sf_dir, "orders"), base.table(spark, sf_dir, "lineitem").filter("l_quantity > 20")
+    orders, lines = base.table(spark, sf_dir, "orders"), base.table(spark, sf_dir, "lineitem")
     questions = orders.select(F.col("o_orderkey").alias("query_id"), _text("Order ", F.col("o_orderkey")).alias("question"), F.when(F.col("o_custkey") % 2 == 0, "ru").otherwise("fr").alias("language"))
     content = _text("Line ", F.col("l_linenumber"), " of part ", F.col("l_partkey"), ". Flag ", F.col("l_returnflag"))
-    found = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), _text("part", F.col("l_partkey") % 4, ".md").alias("source"), content.alias("content"))
+    name = F.when(F.col("l_partkey") % 11 == 0, "index").otherwise(_text("part", F.col("l_partkey") % 4))
+    found = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), _text("d/", name, ".md").alias("source"), content.alias("content"))
     return flows.answers(questions, found)
 
 
-_ANSWERS = r"""f AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, 'part' || (l_partkey % 4) || '.md' AS source, 'Line ' || l_linenumber || ' of part ' || l_partkey || '. Flag ' || l_returnflag AS content FROM lineitem WHERE l_quantity > 20),
-c AS (SELECT query_id, string_agg('[' || source || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank, '[' || source || ']' || chr(10) || content) AS context FROM f GROUP BY query_id),
+_ANSWERS = r"""f AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, 'd/part' || (l_partkey % 4) || '.md' AS source, 'Line ' || l_linenumber || ' of part ' || l_partkey || '. Flag ' || l_returnflag AS content FROM lineitem WHERE l_linenumber <= 5 AND l_partkey % 11 <> 0),
+c AS (SELECT query_id, string_agg('[' || source || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank, source, content) AS context FROM f GROUP BY query_id),
 s AS (SELECT query_id, string_agg(source, ',' ORDER BY rank, source) AS sources FROM (SELECT query_id, source, min(rank) AS rank FROM f GROUP BY ALL) GROUP BY query_id),
 answers AS (SELECT o_orderkey AS query_id, 'Order ' || o_orderkey AS question, context IS NOT NULL AS answered,
   CASE WHEN context IS NULL THEN 'No relevant documents found.' ELSE regexp_extract(context, '(?:^|\n)([^\[\n][^.\n]*\.?)', 1) END AS answer, context, coalesce(sources, '') AS sources
@@ -45,6 +46,15 @@ def c3_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).withColumn("sources", F.array_join("sources", ","))
 
 
+@query("c3_answered_questions")
+def c3_answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items asked of the index: retrieval, rerank, context and answer."""
+    questions = base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("en").alias("language"))
+    cfg = config.SearchConfig(distance_threshold=2.0, rerank=True)
+    index = base.index(spark, sf_dir)
+    return flows.answer(index, questions, models.embedder(), cfg=cfg, active_sources=base.active_sources(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
+
+
 def _logged(spark, sf_dir) -> DataFrame:
     return flows.log_rows(_answers(spark, sf_dir), None, config.SearchConfig(), {"generation": "offline"}, {"generate_answer": 3})
 
@@ -60,18 +70,61 @@ def k23_judge_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.judge_jobs(_logged(spark, sf_dir).withColumnRenamed("query_id", "id"))
 
 
-@query("c11_agent_answers", """WITH b AS (SELECT conv_id, turn // 2 AS hop, text, (conv_id + turn) % 3 AS n_calls, 's' || (turn % 5) AS source FROM conversations WHERE role = 'assistant' AND turn // 2 <= 4),
-l AS (SELECT *, min(CASE WHEN hop < 4 AND n_calls = 0 THEN hop END) OVER (PARTITION BY conv_id) AS stop FROM b),
-u AS (SELECT *, hop < 4 AND n_calls > 0 AND (stop IS NULL OR hop < stop) AS used FROM l),
-e AS (SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN bool_or(used) OVER (PARTITION BY conv_id) THEN 4 END AS finish FROM u),
-g AS (SELECT conv_id, coalesce(max(text) FILTER (hop = finish), '') AS text, coalesce(string_agg(source, ',' ORDER BY hop) FILTER (used), '') AS sources, (count(*) FILTER (used OR hop = finish))::INTEGER AS hops FROM e GROUP BY conv_id)
-SELECT *, text <> '' AND sources <> '' AS success FROM g""")
-def c11_agent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The end of scripted conversations: rows ``b`` (conv_id, hop, text, n_calls, p, c) and what
+#: their calls give, ``x`` (conv_id, hop, j, source, content).
+_ENDS = """w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY hop) - 1 = hop AS whole FROM b),
+k AS (SELECT conv_id, min(hop) FILTER (whole AND hop < 4 AND n_calls = 0) AS stop, count(*) FILTER (whole AND hop < 4) AS reach FROM w GROUP BY conv_id),
+e AS (SELECT conv_id, stop, coalesce(stop, reach) AS n, coalesce(stop, reach) + (stop IS NOT NULL OR reach < 4)::INTEGER AS calls FROM k),
+o AS (SELECT conv_id, string_agg(source, ',' ORDER BY hop, j) AS sources FROM (SELECT x.conv_id, source, min(hop * 10 + j) // 10 AS hop, min(hop * 10 + j) % 10 AS j FROM x JOIN e ON e.conv_id = x.conv_id AND hop < n WHERE source IS NOT NULL GROUP BY x.conv_id, source) GROUP BY conv_id),
+t AS (SELECT x.conv_id, string_agg(content, chr(10) || chr(10) ORDER BY hop, j) AS context FROM x JOIN e ON e.conv_id = x.conv_id AND hop < n WHERE content NOT LIKE 'error: %' GROUP BY x.conv_id),
+g AS (SELECT e.*, coalesce(sources, '') AS sources, context, coalesce(l.text, '') AS said, coalesce(l.text, '') = '' AND sources IS NOT NULL AS need
+  FROM e LEFT JOIN o ON o.conv_id = e.conv_id LEFT JOIN t ON t.conv_id = e.conv_id LEFT JOIN b l ON l.conv_id = e.conv_id AND l.hop = e.stop),
+h AS (SELECT g.*, f.conv_id IS NOT NULL AS forced, coalesce(f.text, said) AS final FROM g LEFT JOIN b f ON need AND f.conv_id = g.conv_id AND f.hop = g.calls),
+z AS (SELECT h.conv_id, coalesce(sum(p), 0)::BIGINT AS prompt_tokens, coalesce(sum(c), 0)::BIGINT AS completion_tokens, coalesce(max(p), 0)::BIGINT AS max_prompt_tokens
+  FROM h LEFT JOIN b ON b.conv_id = h.conv_id AND (b.hop < n OR b.hop = stop OR forced AND b.hop = calls) GROUP BY h.conv_id)
+SELECT conv_id, CASE WHEN final = '' AND sources = '' THEN 'No relevant documents found.' ELSE final END AS text, sources, (calls + forced::INTEGER)::INTEGER AS hops, final <> '' AND sources <> '' AS success,
+  prompt_tokens, completion_tokens, max_prompt_tokens{more} FROM h JOIN z USING (conv_id)"""
+_SCRIPT = """b AS (SELECT conv_id, turn // 2 AS hop, turn, CASE WHEN (conv_id + turn) % 6 = 0 THEN '' ELSE text END AS text, (conv_id + turn) % 3 AS n_calls, length(text) AS p, turn AS c FROM conversations WHERE role = 'assistant')"""
+
+
+def _script(spark, sf_dir) -> DataFrame:
+    """The assistants' turns of the conversations as a model's turns: how many tools each
+    calls, and some without text."""
     rows = base.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    turns = rows.select("conv_id", F.expr("turn div 2").alias("hop"), "text", ((F.col("conv_id") + F.col("turn")) % 3).alias("n_calls"), F.array(_text("s", F.col("turn") % 5)).alias("sources"))
+    said = F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, "").otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.expr("int(turn div 2)").alias("hop"), said.alias("text"), ((F.col("conv_id") + F.col("turn")) % 3).alias("n_calls"), F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"))
+
+
+@query("c11_agent_answers", f"WITH {_SCRIPT}, x AS (SELECT conv_id, hop, 0 AS j, 's' || (turn % 5) AS source, NULL AS content FROM b WHERE n_calls > 0), {_ENDS.format(more='')}")
+def c11_agent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _script(spark, sf_dir).withColumn("sources", F.array(_text("s", F.col("turn") % 5)))
     return flows.agent_answers(turns).withColumn("sources", F.array_join("sources", ","))
 
 
+@query("c4_agent_loop", f"""WITH {_SCRIPT}, y AS (SELECT *, unnest(range(n_calls)) AS j FROM b),
+x AS (SELECT conv_id, hop, j, CASE WHEN (turn + j) % 4 <> 3 AND (conv_id + j) % 7 <> 0 AND turn % 5 <> 4 THEN 'q' || (turn % 5) || '.md' END AS source,
+  CASE WHEN (turn + j) % 4 = 3 OR (conv_id + j) % 7 = 0 OR turn % 5 = 4 THEN 'error: any' ELSE 'about q' || (turn % 5) END AS content FROM y), {_ENDS.format(more=", context")}""")
+def c4_agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation run by the loop: the script answers each batch of calls."""
+    script = _script(spark, sf_dir)
+    wrong = (F.col("conv_id") + F.col("j")) % 7 == 0
+    arguments = F.when(wrong, "{broken").otherwise(_text('{"query": "q', F.col("turn") % 5, '", "odd": 1}'))
+    call = F.struct(_text("c", F.col("j")).alias("id"), F.when((F.col("turn") + F.col("j")) % 4 == 3, "missing").otherwise("search_corpus").alias("name"), arguments.alias("arguments"))
+    called = script.filter("n_calls > 0").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n_calls") - 1).cast("int")))).groupBy("conv_id", "hop").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", call.alias("call")))), lambda c: c["call"]).alias("calls"))
+    turns = storage.cut(script.join(called, ["conv_id", "hop"], "left"), "script")
+
+    def model(asked: DataFrame) -> DataFrame:
+        return asked.select("conv_id", "hop").join(turns, ["conv_id", "hop"]).select("conv_id", "text", "calls", "prompt_tokens", "completion_tokens")
+
+    def search(calls: DataFrame) -> DataFrame:
+        asked = F.try_element_at("arguments", F.lit("query"))
+        return calls.filter(asked != "q4").select("call_key", _text("about ", asked).alias("content"), F.array(_text(asked, ".md")).alias("sources"))
+
+    questions = script.select("conv_id").distinct().select("conv_id", F.lit("what").alias("question"), F.lit(None).cast("string").alias("language"))
+    ended = agent.run(questions, model, agent.registry(agent.Tool("search_corpus", search, ("query",))))
+    return ended.drop("messages").withColumn("sources", F.array_join("sources", ","))
+
+
 @query("j15_remote_tools", """WITH i AS (SELECT s_name AS integration, unnest(['a', 'b', 't' || (s_nationkey % 3)]) AS tool FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT integration || '__' || tool AS name, integration, tool, CASE tool WHEN 'a' THEN 'first' ELSE 'third' END AS description FROM i WHERE tool IN ('a', 't0')""")
 def j15_remote_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
