@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import config
+from lodestone.functions.numeric import exact_round
 
 AXES = ("faithfulness", "relevance", "completeness")
 
@@ -35,8 +36,9 @@ def hit_rank(got: Column, expected: Column) -> Column:
     return F.when(place > 0, place)
 
 
-def _mean(value: Column) -> Column:
-    return F.round(F.avg(value), 2)
+def rounded_mean(value: Column) -> Column:
+    """The mean of what isn't null, two digits."""
+    return exact_round(F.avg(value), 2)
 
 
 def generation_metrics(logs: DataFrame) -> DataFrame:
@@ -45,14 +47,14 @@ def generation_metrics(logs: DataFrame) -> DataFrame:
     right = pool & ((F.coalesce(score("faithfulness"), F.lit(0)) >= config.REFUSAL_SCORE) | ~F.col("answered"))
     found = logs.groupBy("run_name").agg(
         F.count_if(inside & F.col("faithfulness").isNotNull()).alias("n_scored"),
-        _mean(F.when(inside, score("faithfulness"))).alias("faithfulness"),
-        _mean(F.when(inside, score("relevance"))).alias("relevance"),
-        _mean(score("completeness")).alias("completeness"),
+        rounded_mean(F.when(inside, score("faithfulness"))).alias("faithfulness"),
+        rounded_mean(F.when(inside, score("relevance"))).alias("relevance"),
+        rounded_mean(score("completeness")).alias("completeness"),
         F.count_if(right).alias("right"),
         F.count_if(pool).alias("refusable"),
         F.count_if(~in_corpus() & has_remote() & F.col("answered")).alias("answered_via_remote"),
     )
-    scaled = [F.round(F.col(axis) / 10, 3).alias(f"{axis}_scaled") for axis in AXES]
+    scaled = [exact_round(F.col(axis) / 10, 3).alias(f"{axis}_scaled") for axis in AXES]
     return found.select("run_name", "n_scored", *AXES, *scaled, F.concat_ws("/", F.col("right").cast("string"), F.col("refusable").cast("string")).alias("refusal_accuracy"), "answered_via_remote")
 
 
@@ -63,7 +65,7 @@ def retrieval_metrics(logs: DataFrame) -> DataFrame:
     ranked = logs.filter(in_corpus()).select("run_name", hit_rank(own, F.col("marked_sources")).alias("rank"))
     found = ranked.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("hits"), F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("reciprocal"))
     n = F.greatest("n", F.lit(1))
-    return found.select("run_name", "n", "hits", F.round(F.col("hits") / n, 3).alias("hit_at_k"), F.round(F.col("reciprocal") / n, 3).alias("mrr"), (F.col("n") - F.col("hits")).alias("misses"))
+    return found.select("run_name", "n", "hits", exact_round(F.col("hits") / n, 3).alias("hit_at_k"), exact_round(F.col("reciprocal") / n, 3).alias("mrr"), (F.col("n") - F.col("hits")).alias("misses"))
 
 
 def misses(logs: DataFrame) -> DataFrame:

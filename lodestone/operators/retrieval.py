@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestone import config, storage
 from lodestone.config import SearchConfig
 from lodestone.functions import blocks, language, ranking, text, vector
+from lodestone.functions.numeric import exact_round
 from lodestone.operators.searchindex import SearchIndex
 
 _CATEGORY = re.compile(r"[a-zA-Z0-9_.-]+")
@@ -161,7 +162,7 @@ def take_sources(rows: DataFrame, k: int, by: tuple[str, ...], order: str, ignor
 
 def source_rows(rows: DataFrame) -> DataFrame:
     """What a result shows of its sources: distance and score with three digits."""
-    return rows.select("source", "vector_rank", "keyword_rank", F.round("vector_distance", 3).alias("vector_distance"), F.round("score", 3).alias("score"))
+    return rows.select("source", "vector_rank", "keyword_rank", exact_round(F.col("vector_distance"), 3).alias("vector_distance"), exact_round(F.col("score"), 3).alias("score"))
 
 
 def context_of(rows: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions import vector
+from lodestone.functions.numeric import exact_round
 
 AXES = ("faithfulness", "relevance", "completeness")
 
@@ -52,21 +53,50 @@ def winner_deltas(logs: DataFrame, metrics: DataFrame) -> DataFrame:
     return both.unpivot(["comparison", "id_a"], list(AXES), "axis", "delta").filter("delta is not null")
 
 
-def wilcoxon(values: np.ndarray) -> float:
-    """Two-sided signed-rank p: exact up to 50 differences without ties or zeros, else
-    the normal approximation with tie correction; 1 if all are zero (Wilcoxon 1945)."""
-    zeros = bool((values == 0).any())
-    d = values[values != 0]
-    n = len(d)
+def histograms(delta_rows: DataFrame, by: str = "comparison") -> DataFrame:
+    """(comparison, axis, delta, n): how often each difference occurs. Scores are whole
+    numbers of 0 to 10, so a test has 21 rows at most, whatever the number of questions;
+    counts of parts of the questions add up."""
+    return delta_rows.groupBy(by, "axis", "delta").agg(F.count(F.lit(1)).alias("n"))
+
+
+def signed_ranks(counted: DataFrame, by: str = "comparison") -> DataFrame:
+    """(comparison, axis, n, zeros, w_plus, z) of histograms(): the number of differences
+    other than 0, the sum of the ranks of the positive ones (ties share their mean rank),
+    and its standard score under the tie-corrected normal approximation."""
+    sizes = counted.groupBy(by, "axis", F.abs("delta").alias("size")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("delta") > 0, F.col("n")).otherwise(0)).alias("plus"))
+    below = F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).over(Window.partitionBy(by, "axis").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = sizes.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+    nonzero, n = F.col("size") > 0, F.col("n").cast("double")
+    sums = ranked.groupBy(by, "axis").agg(
+        F.sum(F.when(nonzero, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(nonzero, 0).otherwise(F.col("n"))).alias("zeros"),
+        F.coalesce(F.sum(F.when(nonzero, F.col("rank") * F.col("plus"))), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum(F.when(nonzero, n * n * n - n)), F.lit(0.0)).alias("ties"),
+    )
+    m = F.col("n").cast("double")
+    spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    return sums.select(by, "axis", "n", "zeros", "w_plus", F.round((F.col("w_plus") - m * (m + 1) / 4) / F.nullif(spread, F.lit(0.0)), 9).alias("z"))
+
+
+def wilcoxon(values: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Two-sided signed-rank p of differences, each of which may stand for several: exact
+    up to 50 differences without ties or zeros, else the normal approximation with tie
+    correction; 1 if all are zero (Wilcoxon 1945)."""
+    counts = np.ones(len(values), np.int64) if counts is None else counts
+    zeros = bool(counts[values == 0].sum())
+    sizes, place = np.unique(np.abs(values[values != 0]), return_inverse=True)
+    held = counts[values != 0]
+    ties = np.bincount(place, held, len(sizes)) if len(sizes) else np.zeros(0)
+    n = float(ties.sum())
     if not n:
         return 1.0
-    ranks = pd.Series(np.abs(d)).rank().to_numpy()
-    plus, whole = ranks[d > 0].sum(), n * (n + 1) / 2
-    _, ties = np.unique(np.abs(d), return_counts=True)
+    ranks = np.cumsum(ties) - (ties - 1) / 2
+    plus, whole = float((ranks[place] * held)[values[values != 0] > 0].sum()), n * (n + 1) / 2
     if n <= 50 and not zeros and (ties == 1).all():
         ways = np.zeros(int(whole) + 1)
         ways[0] = 1
-        for r in range(1, n + 1):
+        for r in range(1, int(n) + 1):
             ways[r:] = ways[r:] + ways[:-r]
         tail = ways[: int(min(plus, whole - plus)) + 1].sum() / ways.sum()
         return float(min(1.0, 2 * tail))
@@ -75,40 +105,39 @@ def wilcoxon(values: np.ndarray) -> float:
     return float(math.erfc(abs(z) / math.sqrt(2)))
 
 
-def bootstrap_ci(values: np.ndarray, rng: np.random.Generator, samples: int = config.BOOTSTRAP_SAMPLES) -> tuple[float, float]:
-    """2.5 and 97.5 percentiles of means of resamples, drawn in bounded slices."""
-    n, means, step = len(values), [], max(1, 4_000_000 // max(1, len(values)))
-    for first in range(0, samples, step):
-        picks = rng.integers(0, n, (min(step, samples - first), n))
-        means.append(values[picks].mean(1))
-    low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
+def bootstrap_ci(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator, samples: int = config.BOOTSTRAP_SAMPLES) -> tuple[float, float]:
+    """2.5 and 97.5 percentiles of the means of resamples. A resample of n differences is
+    a multinomial draw of how often each value occurs, so it costs the number of different
+    values, not n."""
+    n = int(counts.sum())
+    drawn = rng.multinomial(n, counts / n, samples)
+    low, high = np.percentile(drawn @ values / n, [2.5, 97.5])
     return float(low), float(high)
 
 
 def pairwise(delta_rows: DataFrame, by: str = "comparison", samples: int = config.BOOTSTRAP_SAMPLES, seed: int = config.BOOTSTRAP_SEED) -> DataFrame:
-    """(comparison, axis, n, delta, ci_low, ci_high, p) of each comparison. One generator
-    serves a comparison's axes in their order. Deltas are one run's questions, which a
-    task holds."""
+    """(comparison, axis, n, delta, ci_low, ci_high, p) of each comparison and axis, from
+    the histogram of its differences: one small group a test. Each axis has a generator of
+    its own, so tests don't depend on each other's order."""
 
     def judged(rows: pd.DataFrame) -> pd.DataFrame:
-        rng, out = np.random.default_rng(seed), []
-        rows = rows.sort_values("id_a", kind="stable")
-        for axis in AXES:
-            values = rows.loc[rows["axis"] == axis, "delta"].to_numpy(float)
-            if len(values):
-                low, high = bootstrap_ci(values, rng, samples)
-                out.append((rows[by].iloc[0], axis, len(values), round(float(values.mean()), 3), round(low, 3), round(high, 3), round(wilcoxon(values), 4)))
-        return pd.DataFrame(out, columns=[by, "axis", "n", "delta", "ci_low", "ci_high", "p"])
+        rows = rows.sort_values("delta")
+        values, counts, axis = rows["delta"].to_numpy(float), rows["n"].to_numpy(), rows["axis"].iloc[0]
+        low, high = bootstrap_ci(values, counts, np.random.default_rng([seed, AXES.index(axis)]), samples)
+        n = int(counts.sum())
+        out = (rows[by].iloc[0], axis, n, round(float(values @ counts) / n, 3), round(low, 3), round(high, 3), round(wilcoxon(values, counts), 4))
+        return pd.DataFrame([out], columns=[by, "axis", "n", "delta", "ci_low", "ci_high", "p"])
 
-    return delta_rows.select(by, "axis", "id_a", "delta").groupBy(by).applyInPandas(judged, f"{by} string, axis string, n long, delta double, ci_low double, ci_high double, p double")
+    return histograms(delta_rows, by).groupBy(by, "axis").applyInPandas(judged, f"{by} string, axis string, n long, delta double, ci_low double, ci_high double, p double")
 
 
 def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """tests with ``threshold`` (5 digits), ``significant_raw`` and
     ``significant_corrected``; the comparison uses the exact threshold."""
-    n = tests.agg(F.count("p")).scalar()  # one number, not a window over all tests
-    exact = F.lit(alpha) / F.nullif(n, F.lit(0))
-    return tests.select("*", F.round(exact, 5).alias("threshold"), (F.col("p") < alpha).alias("significant_raw"), (F.col("p") < exact).alias("significant_corrected"))
+    exact = (F.lit(alpha) / F.nullif(F.count("p"), F.lit(0))).alias("_exact")
+    one = tests.agg(exact).select("_exact", exact_round(F.col("_exact"), 5).alias("threshold"))
+    judged = tests.crossJoin(F.broadcast(one))  # one row, not a window over all tests
+    return judged.select(*tests.columns, "threshold", (F.col("p") < alpha).alias("significant_raw"), (F.col("p") < F.col("_exact")).alias("significant_corrected"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

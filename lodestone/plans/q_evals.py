@@ -13,13 +13,13 @@ from lodestone.plans.catalog import query
 _RANK = "list_position(list_transform({got}, lambda s: len(list_filter(marked_sources, lambda e: contains(s, e))) > 0), true)"
 _GEN = f"""WITH {LOGS}, gen AS (SELECT run_name,
   count(*) FILTER (WHERE inside AND faithfulness IS NOT NULL) AS n_scored,
-  round(avg(faithfulness) FILTER (WHERE inside), 2) AS faithfulness, round(avg(relevance) FILTER (WHERE inside), 2) AS relevance, round(avg(completeness), 2) AS completeness,
+  format('{{:.2f}}', avg(faithfulness) FILTER (WHERE inside))::DOUBLE AS faithfulness, format('{{:.2f}}', avg(relevance) FILTER (WHERE inside))::DOUBLE AS relevance, format('{{:.2f}}', avg(completeness))::DOUBLE AS completeness,
   count(*) FILTER (WHERE NOT inside AND NOT remote AND (coalesce(faithfulness, 0) >= 7 OR NOT answered)) AS ok, count(*) FILTER (WHERE NOT inside AND NOT remote) AS pool,
   count(*) FILTER (WHERE NOT inside AND remote AND answered) AS answered_via_remote FROM judged GROUP BY run_name),
 ret AS (SELECT run_name, count(*) AS n, count(r) AS hits, sum(coalesce(1.0::DOUBLE / r, 0)) AS rec FROM (SELECT run_name, nullif({_RANK.format(got="own")}, 0) AS r FROM judged WHERE inside) GROUP BY run_name)"""
-_GEN_OUT = """run_name, n_scored, faithfulness, relevance, completeness, round(faithfulness / 10, 3) AS faithfulness_scaled, round(relevance / 10, 3) AS relevance_scaled,
-  round(completeness / 10, 3) AS completeness_scaled, ok || '/' || pool AS refusal_accuracy, answered_via_remote"""
-_RET_OUT = "n, hits, round(hits::DOUBLE / greatest(n, 1), 3) AS hit_at_k, round(rec / greatest(n, 1), 3) AS mrr, n - hits AS misses"
+_GEN_OUT = """run_name, n_scored, faithfulness, relevance, completeness, format('{:.3f}', faithfulness / 10)::DOUBLE AS faithfulness_scaled, format('{:.3f}', relevance / 10)::DOUBLE AS relevance_scaled,
+  format('{:.3f}', completeness / 10)::DOUBLE AS completeness_scaled, ok || '/' || pool AS refusal_accuracy, answered_via_remote"""
+_RET_OUT = "n, hits, format('{:.3f}', hits::DOUBLE / greatest(n, 1))::DOUBLE AS hit_at_k, format('{:.3f}', rec / greatest(n, 1))::DOUBLE AS mrr, n - hits AS misses"
 
 
 @query("a9_generation_metrics", f"{_GEN} SELECT {_GEN_OUT} FROM gen")
@@ -115,14 +115,41 @@ def x4_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.deltas(stats.paired(base.logs(spark, sf_dir), "src1", "src2"))
 
 
+#: Differences of the composite's winner against every other run.
+_WINNER = f"""{_COMPOSITE}, s AS (SELECT run_name, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM placed GROUP BY run_name),
+winner AS (SELECT m.run_name AS winner FROM m LEFT JOIN s USING (run_name) ORDER BY round(coalesce(rrf, 0), 9) DESC, m.position LIMIT 1),
+own AS (SELECT winner, question_id, arg_max({{'f': faithfulness, 'r': relevance, 'c': completeness}}, id) AS v FROM logs JOIN winner ON run_name = winner GROUP BY ALL),
+diff AS (SELECT winner || ' vs ' || run_name AS comparison, id, v.f - faithfulness AS faithfulness, v.r - relevance AS relevance, v.c - completeness AS completeness
+  FROM logs JOIN own ON logs.question_id IS NOT DISTINCT FROM own.question_id WHERE run_name <> winner),
+delta AS (SELECT comparison, axis, delta FROM (UNPIVOT diff ON faithfulness, relevance, completeness INTO NAME axis VALUE delta))"""
+
+
+def _winner_deltas(spark, sf_dir):
+    return stats.winner_deltas(base.logs(spark, sf_dir), _metrics(spark, sf_dir))
+
+
+@query("a15_delta_histograms", f"{_WINNER} SELECT comparison, axis, delta::DOUBLE AS delta, count(*) AS n FROM delta GROUP BY ALL")
+def a15_delta_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histograms(_winner_deltas(spark, sf_dir))
+
+
+@query("x6_signed_ranks", f"""{_WINNER}, ranked AS (SELECT *, rank() OVER (PARTITION BY comparison, axis, delta <> 0 ORDER BY abs(delta)) AS first, count(*) OVER (PARTITION BY comparison, axis, abs(delta)) AS same FROM delta),
+summed AS (SELECT comparison, axis, count(*) FILTER (delta <> 0) AS n, count(*) FILTER (delta = 0) AS zeros, coalesce(sum(first + (same - 1) / 2.0::DOUBLE) FILTER (delta > 0), 0)::DOUBLE AS w_plus,
+  coalesce(sum(same * same - 1) FILTER (delta <> 0), 0)::DOUBLE AS ties FROM ranked GROUP BY ALL)
+SELECT comparison, axis, n, zeros, w_plus, round((w_plus - n * (n + 1) / 4.0::DOUBLE) / nullif(sqrt(n * (n + 1.0::DOUBLE) * (2 * n + 1) / 24 - ties / 48), 0), 9) AS z FROM summed""")
+def x6_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the signed-rank test of every comparison and axis rests on."""
+    return stats.signed_ranks(stats.histograms(_winner_deltas(spark, sf_dir)))
+
+
 @query("x5_x6_pairwise")
 def x5_x6_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap intervals and Wilcoxon p of the winner against every other run."""
-    return stats.pairwise(stats.winner_deltas(base.logs(spark, sf_dir), _metrics(spark, sf_dir)))
+    return stats.pairwise(_winner_deltas(spark, sf_dir))
 
 
 @query("x7_bonferroni", """WITH t AS (SELECT vec_id AS id, label, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 100) / 1000.0::DOUBLE END AS p FROM embeddings)
-SELECT *, round(0.05::DOUBLE / nullif(count(p) OVER (), 0), 5) AS threshold, p < 0.05::DOUBLE AS significant_raw, p < 0.05::DOUBLE / nullif(count(p) OVER (), 0) AS significant_corrected FROM t""")
+SELECT *, format('{:.5f}', 0.05::DOUBLE / nullif(count(p) OVER (), 0))::DOUBLE AS threshold, p < 0.05::DOUBLE AS significant_raw, p < 0.05::DOUBLE / nullif(count(p) OVER (), 0) AS significant_corrected FROM t""")
 def x7_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 100) / F.lit(1000.0)).alias("p"))
     return stats.bonferroni(rows)

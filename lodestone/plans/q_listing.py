@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import language, text
-from lodestone.operators import listing, models
+from lodestone.functions.numeric import exact_round
+from lodestone.operators import evals, listing, models
 from lodestone.plans import base
 from lodestone.plans.catalog import query
 from lodestone.sources import questions
@@ -221,10 +222,10 @@ def f28_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(500)).alias("shown"))
 
 
-@query("f6_elapsed", "SELECT user_id, round(epoch(max(ts)) - epoch(min(ts)), 1) AS elapsed FROM events GROUP BY user_id")
+@query("f6_elapsed", "SELECT user_id, format('{:.1f}', epoch(max(ts)) - epoch(min(ts)))::DOUBLE AS elapsed FROM events GROUP BY user_id")
 def f6_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return rows.groupBy("user_id").agg(F.round(F.max("at") - F.min("at"), 1).alias("elapsed"))
+    return rows.groupBy("user_id").agg(exact_round(F.max("at") - F.min("at"), 1).alias("elapsed"))
 
 
 @query("s14_question_import", """SELECT DISTINCT line AS question, sha256(line) AS text_hash FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark) WHERE line <> '' AND line NOT LIKE '#%'""")
@@ -302,10 +303,10 @@ def k1_chunk_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("a8_rounded_mean", "SELECT source, round(avg(quality), 2) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+@query("a8_rounded_mean", "SELECT source, format('{:.2f}', avg(quality))::DOUBLE AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def a8_rounded_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.table(spark, sf_dir, "documents").join(base.table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.round(F.avg(F.col("quality").cast("string").cast("int")), 2).alias("quality"))
+    return rows.groupBy("source").agg(evals.rounded_mean(F.col("quality").cast("string").cast("int")).alias("quality"))
 
 
 @query("f20_formatted", "SELECT doc_id, '[' || source || ']' || chr(10) || text AS chunk FROM documents")

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import text, vector
+from lodestone.functions import numeric, text, vector
 
 
 def one(spark, column, **values):
@@ -98,3 +99,16 @@ def test_vectors(spark):
     assert one(spark, vector.cosine_distance(a, b)) == 1.0
     assert one(spark, vector.distance_to(a, [3, 0])) == 0.0
     assert one(spark, vector.rrf(F.lit(1))) == 1 / 61 and one(spark, vector.rrf(F.lit(None).cast("int"))) == 0.0
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 4, 5])
+def test_exact_rounding_equals_python(spark, digits):
+    rng = random.Random(digits)
+    values = [2.675, 0.125, 0.5, 1.5, 2.5, 1.005, -2.675, 0.0, 1e-9, -1e-9, 1e15 + 0.5, 123456789.12345, float("inf"), 5e-324]
+    values += [rng.uniform(-100, 100) for _ in range(5_000)]
+    values += [rng.randint(-10**6, 10**6) / 2**k for k in (1, 2, 3, 4, 5, 6) for _ in range(600)]  # ties among them
+    values += [(rng.randint(-10**6, 10**6) + 0.5) / 10**digits for _ in range(3_000)]  # next to ties
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", numeric.exact_round(F.col("v"), digits).alias("r")).collect()
+    wrong = [(r.v, r.r) for r in rows if r.r != (r.v if math.isinf(r.v) else round(r.v, digits))]
+    assert wrong == [] and len(rows) > 10_000
+    assert spark.sql("SELECT cast(null AS double) AS v, double('nan') AS n").select(numeric.exact_round(F.col("v"), 2).alias("v"), F.isnan(numeric.exact_round(F.col("n"), 2)).alias("n")).first() == (None, True)

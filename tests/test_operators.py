@@ -73,6 +73,40 @@ def test_wilcoxon():
     assert stats.wilcoxon(np.full(20, 2.0)) < 0.05
 
 
+def test_wilcoxon_of_counts_and_published_values():
+    published = np.array([6, 8, 14, 16, 23, 24, 28, 29, 41, -48, 49, 56, 60, -67, 75.0])  # W = 24
+    assert stats.wilcoxon(published) == pytest.approx(0.041259765625)
+    rng = np.random.default_rng(1)
+    for n in (3, 40, 400):
+        d = rng.integers(-10, 11, n).astype(float)
+        values, counts = np.unique(d, return_counts=True)
+        assert stats.wilcoxon(values, counts) == pytest.approx(stats.wilcoxon(d))
+        kept = d[d != 0]
+        ranks = np.array([(np.abs(kept) < abs(x)).sum() + ((np.abs(kept) == abs(x)).sum() + 1) / 2 for x in kept])
+        m, ties = len(kept), np.unique(np.abs(kept), return_counts=True)[1]
+        z = (ranks[kept > 0].sum() - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - (ties**3 - ties).sum() / 48)
+        assert n < 51 or stats.wilcoxon(d) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+
+
+def test_signed_ranks_of_tables(spark):
+    rows = [("a vs b", "relevance", i, float(v)) for i, v in enumerate([3, -1, 2, 2, 0, -2, 5])] + [("a vs c", "relevance", 0, 0.0)]
+    counted = stats.histograms(spark.createDataFrame(rows, "comparison string, axis string, id_a int, delta double"))
+    got = {r.comparison: r for r in stats.signed_ranks(counted).collect()}
+    r = got["a vs b"]
+    assert (r.n, r.zeros, r.w_plus) == (6, 1, 3 + 3 + 5 + 6)
+    assert r.z == pytest.approx((17 - 10.5) / math.sqrt(6 * 7 * 13 / 24 - (27 - 3) / 48))
+    assert (got["a vs c"].n, got["a vs c"].zeros, got["a vs c"].z) == (0, 1, None)
+
+
+def test_intervals_equal_plain_resampling():
+    d = np.random.default_rng(3).integers(-4, 6, 300).astype(float)
+    values, counts = np.unique(d, return_counts=True)
+    low, high = stats.bootstrap_ci(values, counts, np.random.default_rng(42))
+    means = np.random.default_rng(7).choice(d, (10_000, len(d))).mean(axis=1)
+    plain = np.percentile(means, [2.5, 97.5])
+    assert abs(low - plain[0]) < 0.02 and abs(high - plain[1]) < 0.02
+
+
 def test_constant_difference_has_a_tight_interval(spark):
     rows = spark.createDataFrame([("a vs b", axis, i, v) for axis, v in (("faithfulness", 2.0), ("relevance", 0.0)) for i in range(20)], "comparison string, axis string, id_a int, delta double")
     got = {r.axis: r for r in stats.pairwise(rows).collect()}
@@ -81,6 +115,12 @@ def test_constant_difference_has_a_tight_interval(spark):
     assert (r.delta, r.ci_low, r.ci_high, r.p) == (0.0, 0.0, 0.0, 1.0)
 
 
+def test_intervals_do_not_depend_on_partitions(spark):
+    rows = [("a vs b", axis, i, float((i * 7 + len(axis)) % 11 - 5)) for axis in stats.AXES for i in range(200)]
+    frame = spark.createDataFrame(rows, "comparison string, axis string, id_a int, delta double")
+    assert sorted(stats.pairwise(frame.repartition(7)).collect()) == sorted(stats.pairwise(frame.coalesce(1)).collect())
+
+
 def test_bonferroni(spark):
     rows = spark.createDataFrame([("a", 0.03), ("b", 0.001), ("c", 0.5), ("d", None)], "axis string, p double")
     got = {r.axis: r for r in stats.bonferroni(rows).collect()}
