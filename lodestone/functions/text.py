@@ -12,18 +12,26 @@ from lodestone.functions import stemming
 #: From coarse to fine; what no separator cuts is sliced.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 SECTION = "\n## "
+#: White space, and what doesn't end a line.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NO_LINE_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: What full-text search takes for words.
 WORD = r"[\p{L}\p{N}]+"
 
 
+def is_blank(text: Column) -> Column:
+    """Whether nothing but white space is there, by Unicode's notion of it."""
+    return F.length(F.regexp_replace(text, SPACE + "+", "")) == 0
+
+
 def header_chunks(text: Column) -> Column:
     """Sections at ``## `` headers; later ones repeat the document's first line, so that
     each section says what it belongs to. Blank documents have none."""
     parts = F.split(text, SECTION)
-    title = F.element_at(F.split(F.element_at(parts, 1), "\n"), 1)
+    title = F.regexp_extract(text, f"^{NO_LINE_END}*", 0)
     whole = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(title, F.lit(SECTION), part)))
-    return F.when(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0, whole).otherwise(F.array().cast("array<string>"))
+    return F.when(~is_blank(text), whole).otherwise(F.array().cast("array<string>"))
 
 
 def _sliced(piece: Column, size: int) -> Column:
@@ -33,20 +41,21 @@ def _sliced(piece: Column, size: int) -> Column:
 
 def size_chunks(piece: Column, size: int = 1024, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """Pieces of at most ``size`` characters: neighbours at the coarsest separator are
-    joined while they fit; one that is too large alone is cut at the next separator."""
+    joined while they fit; one that is too large alone is cut at the next separator. A
+    piece begins with no separator, and none ends up empty unless ``piece`` is."""
     if not separators:
         return _sliced(piece, size)
     first, rest = separators[0], separators[1:]
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
     def closed(state: Column) -> Column:
-        return F.when(state["open"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(state["open"])))
+        return F.when(state["open"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["open"])))
 
     def step(state: Column, part: Column) -> Column:
-        joined = F.when(state["open"].isNull(), part).otherwise(F.concat(state["open"], F.lit(first), part))
+        joined = F.when(state["open"] == "", part).otherwise(F.concat(state["open"], F.lit(first), part))
         return (
-            F.when(F.length(part) > size, F.struct(F.concat(closed(state), size_chunks(part, size, rest)).alias("out"), F.lit(None).cast("string").alias("open")))
-            .when(F.length(joined) <= size, F.struct(state["out"].alias("out"), joined.alias("open")))
+            F.when(F.length(joined) <= size, F.struct(state["out"].alias("out"), joined.alias("open")))
+            .when(F.length(part) > size, F.struct(F.concat(closed(state), size_chunks(part, size, rest)).alias("out"), F.lit("").alias("open")))
             .otherwise(F.struct(closed(state).alias("out"), part.alias("open")))
         )
 
@@ -55,9 +64,8 @@ def size_chunks(piece: Column, size: int = 1024, separators: tuple[str, ...] = S
 
 
 def chunks(text: Column, size: int = 1024) -> Column:
-    """All chunks of a markdown document in order, blank ones left out."""
-    every = F.flatten(F.transform(header_chunks(text), lambda section: size_chunks(section, size)))
-    return F.filter(every, lambda chunk: F.length(F.regexp_replace(chunk, r"\s+", "")) > 0)
+    """All chunks of a markdown document in order."""
+    return F.flatten(F.transform(header_chunks(text), lambda section: size_chunks(section, size)))
 
 
 def category_of_path(path: Column) -> Column:

@@ -140,3 +140,27 @@ judged AS (
 
 def in_corpus():
     return evals.in_corpus()
+
+
+def _packed(piece: str, mark: str) -> str:
+    """Neighbours at a separator joined while they fit, as one fold over the parts."""
+    joined = f"CASE WHEN a.cur <> '' THEN a.cur || {mark} || b.cur ELSE b.cur END"
+    closed = "CASE WHEN a.cur <> '' THEN list_append(a.out, a.cur) ELSE a.out END"
+    step = f"""CASE WHEN length({joined}) <= 1024 THEN {{'out': a.out, 'cur': {joined}}} WHEN length(b.cur) > 1024 THEN {{'out': list_append({closed}, b.cur), 'cur': ''}} ELSE {{'out': {closed}, 'cur': b.cur}} END"""
+    parts = f"list_transform(string_split({piece}, {mark}), lambda x: {{'out': []::VARCHAR[], 'cur': x}})"
+    return f"list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur': ''}}, {parts}), lambda a, b: {step})"
+
+
+def chunk_ctes(texts: str) -> str:
+    """``pieces`` (key, chunk_index, content): the chunks of the texts of (key, text)."""
+    line = "^[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]*"
+    out = [
+        f"""sections AS (SELECT key, title, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT key, regexp_extract(text, '{line}') AS title, string_split(text, chr(10) || '## ') AS parts FROM {texts} WHERE regexp_matches(text, '[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')))""",
+        "cut0 AS (SELECT key, [i] AS place, CASE WHEN i = 1 THEN part ELSE title || chr(10) || '## ' || part END AS piece FROM sections)",
+    ]
+    for n, mark in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '"), 1):
+        out.append(f"packed{n} AS (SELECT key, place, CASE WHEN length(piece) <= 1024 THEN [piece] ELSE (SELECT CASE WHEN r.cur <> '' THEN list_append(r.out, r.cur) ELSE r.out END FROM (SELECT {_packed('piece', f'({mark})')} AS r)) END AS p FROM cut{n - 1})")
+        out.append(f"cut{n} AS (SELECT key, list_append(place, i) AS place, piece FROM (SELECT key, place, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM packed{n}))")
+    out.append("sliced AS (SELECT key, list_append(place, i) AS place, CASE WHEN length(piece) <= 1024 THEN piece ELSE substr(piece, (i - 1) * 1024 + 1, 1024) END AS piece FROM (SELECT *, unnest(range(1, greatest((length(piece) + 1023) // 1024, 1) + 1)) AS i FROM cut4))")
+    out.append("pieces AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY place) - 1)::INTEGER AS chunk_index, piece AS content FROM sliced)")
+    return ",\n".join(out)

@@ -15,24 +15,22 @@ def one(spark, column, **values):
 
 
 def plain_size_chunks(piece, size, separators=text.SEPARATORS):
+    """A greedy walk: what is open is falsy while it holds no character."""
     if len(piece) <= size:
         return [piece]
     if not separators:
         return [piece[i : i + size] for i in range(0, len(piece), size)]
-    out, held = [], None
-    for part in piece.split(separators[0]):
-        if len(part) > size:
-            out += [] if held is None else [held]
-            out += plain_size_chunks(part, size, separators[1:])
-            held = None
-        elif held is None:
-            held = part
-        elif len(held) + len(separators[0]) + len(part) <= size:
-            held = held + separators[0] + part
-        else:
-            out.append(held)
-            held = part
-    return out + ([] if held is None else [held])
+    mark, finer = separators[0], separators[1:]
+    out, held = [], ""
+    for part in piece.split(mark):
+        longer = mark.join([held, part]) if held else part
+        if len(longer) > size:
+            out += [held] if held else []
+            fits = len(part) <= size
+            out += [] if fits else plain_size_chunks(part, size, finer)
+            longer = part if fits else ""
+        held = longer
+    return out + ([held] if held else [])
 
 
 def test_blank_text_has_no_chunks(spark):
@@ -45,6 +43,14 @@ def test_first_line_is_repeated_on_every_section(spark):
     assert got == ["# Title\nintro", "# Title\n## A\none", "# Title\n## B\ntwo"]
 
 
+def test_separators_do_not_begin_a_chunk(spark):
+    assert one(spark, text.size_chunks(F.col("t")), t="\n\n" + "a" * 1000 + "\n\n" + "b" * 100) == ["a" * 1000, "b" * 100]
+    assert one(spark, text.chunks(F.col("t")), t="\n## A\none") == ["", "\n## A\none"]
+    assert one(spark, text.chunks(F.col("t")), t="Head\u2028er\n## A\none") == ["Head\u2028er", "Head\n## A\none"]
+    rows = spark.createDataFrame([("\u00a0\u2003\x1c\n",), (None,)], "t string").select(text.chunks(F.col("t")).alias("c")).collect()
+    assert rows[0].c == [] and not rows[1].c
+
+
 def test_unbroken_text_is_sliced(spark):
     got = one(spark, text.chunks(F.col("t")), t="x" * 2098)
     assert [len(c) for c in got] == [1024, 1024, 50]
