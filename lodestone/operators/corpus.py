@@ -1,4 +1,4 @@
-"""Index build: documents to chunk rows, per-source replacement, corpus counts."""
+"""Documents to chunk rows, and what a corpus holds."""
 
 from __future__ import annotations
 
@@ -15,12 +15,6 @@ def chunk_rows(documents: DataFrame, size: int = config.CHUNK_SIZE) -> DataFrame
     return rows.withColumn("lexemes", text.placed_lexemes(F.col("content"), text.search_configuration(F.coalesce("language", F.lit("")))))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Replace the chunks of the corpora in ``chunks``; others stay. The swap is part of
-    one job's commit."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus").parquet(path)
-
-
 def truncate(spark: SparkSession, path: str) -> None:
     """Leave an empty table of the same schema."""
     held = spark.read.parquet(path)

@@ -7,6 +7,7 @@ backends are deterministic, so that pipelines can be tested without a model.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,16 +21,18 @@ WIDTH = 64
 
 
 def hashed_embedding(texts: list[str]) -> list[list[float]]:
-    """Unit vectors from hashed words: equal texts are equal, shared words are near."""
-    out = []
-    for t in texts:
-        v = np.zeros(WIDTH)
-        for word in (t or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-            v[h % WIDTH] += 1.0 if h >> 63 else -1.0
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).astype(float).tolist())
-    return out
+    """Unit vectors from hashed words: equal texts are equal, shared words are near. Each
+    different word of the batch is hashed once."""
+    words = [re.findall(r"[^ \t\n\r\f\v]+", (t or "").lower()) for t in texts]
+    text = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    different, of_word = np.unique(np.array([w for held in words for w in held], dtype=object), return_inverse=True)
+    digests = [hashlib.md5(w.encode("utf-8", "surrogatepass")).digest() for w in different]
+    slot = np.array([d[7] % WIDTH for d in digests], np.int64)
+    sign = np.array([1.0 if d[0] >> 7 else -1.0 for d in digests])
+    out = np.zeros((len(texts), WIDTH))
+    np.add.at(out, (text, slot[of_word]), sign[of_word])
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=out, where=size > 0).tolist()
 
 
 def embedder(backend: Callable[[list[str]], list[list[float]]] = hashed_embedding, batch: int = config.EMBED_BATCH):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.config import SearchConfig
 from lodestone.functions import blocks, language, stemming, text, vector
-from lodestone.operators import corpus, evals, retrieval, searchindex
+from lodestone.operators import corpus, evals, indexing, retrieval, searchindex
 from lodestone.plans import base
-from lodestone.plans.base import CHUNKS, PLACED, QUESTION, THRESHOLD, WORD, english_stems
+from lodestone.plans.base import CHUNKS, PLACED, QUESTION, THRESHOLD, WORD, chunk_ctes, english_stems
 from lodestone.plans.base import STOPS as _STOPS
 from lodestone.plans.catalog import query
 
@@ -54,6 +57,30 @@ def c5_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2]).crossJoin(sizes[3])  # one row each
 
 
+_CORPORA = """before AS (SELECT 'doc' || doc_id AS source, lang AS corpus, text FROM documents WHERE doc_id % 10 <> 7),
+after_ AS (SELECT 'doc' || doc_id AS source, lang AS corpus, CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"""
+
+
+@query("c5_incremental_build", f"""WITH {_CORPORA}, t AS (SELECT 1 AS build, * FROM before UNION ALL SELECT 2, * FROM after_), k AS (SELECT build || '#' || source AS key, text FROM t),
+{chunk_ctes("k")}, held AS (SELECT key, count(*) AS n FROM pieces GROUP BY key),
+rows AS (SELECT build, corpus, source, coalesce(n, 0) AS n, CASE WHEN build = 1 OR source IN (SELECT source FROM after_ EXCEPT SELECT source FROM before) THEN 'new' WHEN source LIKE '%5' THEN 'changed' ELSE 'same' END AS was FROM t LEFT JOIN held ON key = build || '#' || source),
+counted AS (SELECT build, count(DISTINCT corpus) AS sources, sum(n) AS chunks, count(*) FILTER (was = 'new') AS new, count(*) FILTER (was = 'changed') AS changed, count(*) FILTER (was = 'same') AS same,
+  CASE WHEN build = 2 THEN (SELECT count(*) FROM before WHERE source NOT IN (SELECT source FROM after_)) ELSE 0 END AS gone, coalesce(sum(n) FILTER (was <> 'same'), 0) AS embedded FROM rows GROUP BY build)
+SELECT build, sources, chunks::BIGINT AS chunks, new, changed, same, gone, embedded::BIGINT AS embedded FROM counted
+UNION ALL SELECT 3, sources, chunks::BIGINT, 0, 0, new + changed + same, 0, 0 FROM counted WHERE build = 2""")
+def c5_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages as corpora, built three times: most documents; without some, with
+    others changed and new; the same again, which embeds nothing."""
+    docs = base.table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("source"), F.col("lang").alias("corpus"), F.col("lang").alias("category"), F.lit("eng").alias("language"), F.lit(None).cast("string").alias("title"), "text", (F.col("doc_id") % 10).alias("d"))
+    before = rows.filter("d <> 7").drop("d")
+    after = rows.filter("d <> 3").withColumn("text", F.when(F.col("d") == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("d")
+    path = storage.fresh(spark, "store")
+    entries = [indexing.Entry(r.lang) for r in docs.select("lang").distinct().collect()]  # one a corpus
+    made = [indexing.build(d, path, entries) for d in (before, after, after)]
+    return spark.createDataFrame([(i, *astuple(r)) for i, r in enumerate(made, 1)], "build int, sources long, chunks long, new long, changed long, same long, gone long, embedded long")
+
+
 @query("x1_hybrid_search", f"""{_OPEN}, {_VECTORS}, {_KEYWORDS}, {_FUSED}
 SELECT f.*, c.source, c.category, length(c.content) AS n_chars FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 5) f JOIN chunks c USING (id)""")
 def x1_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,36 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     system, at = _file_system(spark, path)
     system.delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    system, at = _file_system(spark, path)
+    return [str(s.getPath()) for s in system.listStatus(at)] if system.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file; empty if it isn't there."""
+    if not exists(spark, path):
+        return ""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside the old one and move it into place."""
+    system, at = _file_system(spark, path)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = system.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = options
+    context.rename(aside, at, kinds)
+
+
+def partition_of(spark: SparkSession, path: str, column: str, value: str) -> str:
+    """The folder of one partition of a written table; empty if it has no rows."""
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    at = f"{path}/{column}={escaped}"
+    return at if exists(spark, at) else ""
