@@ -89,8 +89,8 @@ def in_category(category: Column, wanted: str) -> Column:
 
 def title_of(text: Column) -> Column:
     """First line without leading number signs; null if nothing is left."""
-    line = F.element_at(F.split(text, "\n"), 1)
-    return F.nullif(F.trim(F.regexp_replace(line, "^#+", "")), F.lit(""))
+    line = F.regexp_extract(text, f"^{NO_LINE_END}*", 0)
+    return F.nullif(F.regexp_replace(F.regexp_replace(line, "^#+", ""), f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
 
 
 def words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import astuple
+from dataclasses import astuple, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from lodestone.plans import base
 from lodestone.plans.base import CHUNKS, PLACED, QUESTION, THRESHOLD, WORD, chunk_ctes, english_stems
 from lodestone.plans.base import STOPS as _STOPS
 from lodestone.plans.catalog import query
+from lodestone.sources import files, markdown
 
 CFG = SearchConfig(distance_threshold=THRESHOLD)
 _TERMS = "[" + ", ".join(f"'{w}'" for w in QUESTION) + "]"
@@ -57,6 +58,29 @@ def c5_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2]).crossJoin(sizes[3])  # one row each
 
 
+#: Some files have a front matter; hidden ones and one file name are left out.
+_FILES = """f AS (SELECT lang || '/' || source || '/' || CASE WHEN doc_id % 13 = 0 THEN 'drafts' || doc_id ELSE 'd' || doc_id END || '.md' AS path, doc_id,
+  CASE WHEN doc_id % 3 = 0 THEN 'T ' || doc_id END AS given, CASE doc_id % 4 WHEN 0 THEN 'Hidden' WHEN 1 THEN 'Odd' WHEN 2 THEN 'Even' END AS said, doc_id % 3 = 0 OR doc_id % 5 = 0 AS fronted, text FROM documents WHERE doc_id % 13 <> 0)"""
+
+
+@query("s1_corpus_files", f"""WITH {_FILES}, kept AS (SELECT *, CASE WHEN fronted THEN said END AS category, CASE WHEN fronted THEN given END AS own, trim(replace(text, chr(13), chr(10)), ' ' || chr(9) || chr(10)) AS body FROM f)
+SELECT 'corpus/' || path AS source, CASE category WHEN 'Odd' THEN 'numbers.odd' WHEN 'Even' THEN 'numbers.even' ELSE 'misc' END AS category,
+  coalesce(own, nullif(trim(regexp_replace(string_split(body, chr(10))[1], '^#+', '')), '')) AS title, CASE WHEN fronted THEN 'a,b ' || doc_id ELSE '' END AS tags, sha256(body) AS text_hash FROM kept WHERE category IS DISTINCT FROM 'Hidden'""")
+def s1_corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as markdown files, some with a front matter, and read as a corpus."""
+    d = F.col("doc_id")
+    said = F.when(d % 4 == 0, "Hidden").when(d % 4 == 1, "Odd").when(d % 4 == 2, "Even")
+    head = F.concat_ws("", F.lit("---\n"), F.when(d % 3 == 0, F.concat(F.lit("title: T "), d, F.lit("\n"))), F.concat(F.lit("category: "), said, F.lit("\n")), F.lit("tags:\n  - a\n  - 'b "), d, F.lit("'\n---\n"))
+    name = F.concat(F.when(d % 13 == 0, "drafts").otherwise("d"), d)
+    rows = base.table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", F.concat(name, F.lit(".md"))).alias("path"), F.concat(F.when((d % 3 == 0) | (d % 5 == 0), head).otherwise(""), "text").alias("text"))
+    root = f"{storage.fresh(spark, 'files')}/corpus"
+    files.written(rows, root)
+    named = {"Odd": "numbers.odd", "Even": "numbers.even"}
+    spec = replace(markdown.cheatsheets(root, by_category=named), patterns=(("", "d[0-9]*.md", True),))
+    found = markdown.documents(spark, spec)
+    return found.select("source", "category", "title", F.array_join("tags", ",").alias("tags"), text.text_hash(F.col("text")).alias("text_hash"))
+
+
 _CORPORA = """before AS (SELECT 'doc' || doc_id AS source, lang AS corpus, text FROM documents WHERE doc_id % 10 <> 7),
 after_ AS (SELECT 'doc' || doc_id AS source, lang AS corpus, CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"""
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.functions import text
+from lodestone.sources import files
 
 # What each known corpus scans and how it names categories.
 REDIS_PREFIX = "databases.redis."
@@ -18,38 +22,8 @@ FALLBACK_CATEGORY = "misc"
 HIDDEN = "Hidden"
 
 
-def _files(spark: SparkSession, root: str, pattern: str, recursive: bool) -> DataFrame:
-    """(path, text) under root; bytes that aren't UTF-8 are dropped."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9+]+:/*", "/"), "^/*", "/")
-    clean = F.regexp_replace(F.decode("content", "UTF-8") if False else F.try_validate_utf8(F.col("content").cast("string")), "\r\n", "\n")
-    fixed = F.coalesce(clean, F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", ""))
-    return rows.select(path.alias("path"), fixed.alias("text"))
-
-
-def relative(path: Column, root: str) -> Column:
-    bare = root.rstrip("/")
-    return F.substring(path, len(bare) + 2, 1 << 30)
-
-
-def scan(spark: SparkSession, root: str, pattern: str = "*.md", recursive: bool = True) -> DataFrame:
-    """(path relative to root, text)."""
-    files = _files(spark, root, pattern, recursive)
-    return files.select(relative(F.col("path"), root).alias("path"), "text")
-
-
-def without_stems(files: DataFrame, stems: tuple[str, ...]) -> DataFrame:
-    """Files whose name without its suffix isn't listed."""
-    return files.filter(~F.regexp_replace(text.basename(F.col("path")), r"\.[^.]*$", "").isin(*stems)) if stems else files
-
-
-def front_matter(files: DataFrame) -> DataFrame:
-    """``meta`` (map of the leading block's flat keys) and ``text`` after the block."""
-    block = F.regexp_extract("text", r"\A---\n([\s\S]*?)\n---\n?", 1)
-    pairs = F.filter(F.split(block, "\n"), lambda line: line.rlike(r"^[\w-]+:"))
-    meta = F.map_from_entries(F.transform(pairs, lambda line: F.struct(F.regexp_extract(line, r"^([\w-]+):", 1), F.trim(F.regexp_replace(F.regexp_replace(line, r"^[\w-]+:", ""), "[\"']", "")))))
-    return files.select("path", meta.alias("meta"), F.regexp_replace("text", r"\A---\n[\s\S]*?\n---\n?", "").alias("text"))
+def exists(spark: SparkSession, root: str) -> bool:
+    return storage.exists(spark, root)
 
 
 def visible(files: DataFrame) -> DataFrame:
@@ -73,6 +47,17 @@ class SourceSpec:
 REGISTRY: dict[str, SourceSpec] = {}
 
 
+def is_git(spec: SourceSpec) -> bool:
+    return spec.git_url is not None
+
+
+def available(spark: SparkSession, specs: list[SourceSpec]) -> list[SourceSpec]:
+    """Local corpora, then those of repositories that have been cloned to their root; a
+    repository that isn't there is left out."""
+    local = [s for s in specs if not is_git(s)]
+    return local + [s for s in specs if is_git(s) and exists(spark, s.root)]
+
+
 def register(spec: SourceSpec) -> SourceSpec:
     if spec.name in REGISTRY:
         raise ValueError(f"source {spec.name} is registered twice")
@@ -118,16 +103,44 @@ def cheatsheets(root: str, denied: tuple[str, ...] = (), by_category: dict[str,
     return SourceSpec("cheatsheets", root, "eng", (("", "*.md", False),), category, denied, True)
 
 
+def format_of(spark: SparkSession, spec: SourceSpec) -> str:
+    """Register a format by the corpus's name: ``spark.read.format(name).load(root)`` gives
+    its files, with the corpus's own patterns, deny list and front matter."""
+    held = {"scans": json.dumps(spec.patterns), "denied": json.dumps(spec.denied), "frontMatter": str(spec.has_front_matter)}
+
+    class Corpus(files.MarkdownFiles):
+        @classmethod
+        def name(cls) -> str:
+            return spec_name
+
+        def reader(self, schema):
+            return files.MarkdownReader({**held, **dict(self.options)})
+
+    spec_name = spec.name
+    files.register(spark, Corpus)
+    return spec.name
+
+
 def documents(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """(source, corpus, category, language, title, text) of a corpus."""
-    out = None
-    for folder, pattern, recursive in spec.patterns:
-        base = f"{spec.root.rstrip('/')}/{folder}".rstrip("/")
-        part = scan(spark, base, pattern, recursive)
-        if folder:
-            part = part.withColumn("path", F.concat(F.lit(f"{folder}/"), "path"))
-        out = part if out is None else out.unionByName(part)
-    out = without_stems(out, spec.denied)
-    out = visible(front_matter(out)) if spec.has_front_matter else out.withColumn("meta", F.create_map().cast("map<string,string>"))
+    """(source, corpus, category, language, title, tags, text) of a corpus."""
+    out = spark.read.format(format_of(spark, spec)).load(spec.root)
+    if spec.has_front_matter:
+        out = visible(out)
     root_name = spec.root.rstrip("/").rsplit("/", 1)[-1]
-    return out.select(F.concat(F.lit(f"{root_name}/"), "path").alias("source"), F.lit(spec.name).alias("corpus"), spec.category(F.col("path"), F.col("meta")).alias("category"), F.lit(spec.language).alias("language"), text.title_of(F.col("text")).alias("title"), "text")
+    title = F.coalesce(F.nullif(F.try_element_at("meta", F.lit("title")), F.lit("")), text.title_of(F.col("text")))
+    return out.select(F.concat(F.lit(f"{root_name}/"), "path").alias("source"), F.lit(spec.name).alias("corpus"), spec.category(F.col("path"), F.col("meta")).alias("category"), F.lit(spec.language).alias("language"), title.alias("title"), "tags", "text")
+
+
+def corpora(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
+    """The documents of all corpora that are there."""
+    held = [documents(spark, s) for s in available(spark, specs)]
+    if not held:
+        return spark.createDataFrame([], "source string, corpus string, category string, language string, title string, tags array<string>, text string")
+    return reduce(DataFrame.unionByName, held)
+
+
+def readmes(spark: SparkSession, base_url: str, repositories: list[str], folder: str, language: str = "eng") -> DataFrame:
+    """The READMEs of the interview repositories below ``folder``; those that aren't there
+    are left out."""
+    specs = [replace(interview(name, f"{folder.rstrip('/')}/{name}", language), git_url=f"{base_url}/{name}") for name in repositories]
+    return corpora(spark, specs)

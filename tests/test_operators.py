@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.operators import evals, listing, models, retrieval, stats
-from lodestone.sources import markdown, questions
+from lodestone.sources import files, markdown, questions
 from lodestone.streaming import queue
 
 
@@ -199,6 +200,65 @@ def test_markdown_corpora(spark, tmp_path):
     assert got == {"redis/commands/get.md": "databases.redis.commands.get", "redis/docs/a/b c.md": "databases.redis.docs.a.b_c"}
 
 
+def test_files_as_a_data_source(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "a" / "deep").mkdir(parents=True)
+    (root / "a" / "one.md").write_bytes(b"\xff\xfe# One\r\nline\rend\xc3\xa9")
+    (root / "a" / "deep" / "two.md").write_text("---\ntitle: 'Two: it'\ntags: [x, 'y z']\nnested:\n  k: [1, 2]\ndate: 2020-01-02\nempty:\n---\n\nbody\n\n")
+    (root / "a" / "skip.md").write_text("no")
+    (root / "a" / "three.txt").write_text("no")
+    files.register(spark)
+
+    def read():
+        return spark.read.format("markdown_files").option("frontMatter", "true").option("denied", '["skip"]')
+
+    got = {r.path: r for r in read().load(f"file://{root}").collect()}
+    assert set(got) == {"a/one.md", "a/deep/two.md"} and got["a/one.md"].text == "# One\nline\nendé"
+    two = got["a/deep/two.md"]
+    assert (two.text, two.tags, two.stem) == ("body", ["x", "y z"], "two")
+    assert two.meta == {"title": "Two: it", "tags": '["x", "y z"]', "nested": '{"k": [1, 2]}', "date": "2020-01-02", "empty": ""}
+    flat = read().option("scans", '[["a", "*.md", false]]').load(str(root))
+    assert [r.path for r in flat.collect()] == ["a/one.md"]
+    small = read().option("partitionFiles", "1").load(str(root))
+    assert small.rdd.getNumPartitions() == 2 and small.count() == 2
+    assert read().load(str(tmp_path / "none")).count() == 0
+
+
+def test_unwanted_files_are_not_opened(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"f{i}.md").write_text("---\n- no mapping\n---\n" if i == 5 else f"text {i}")
+    files.register(spark)
+    rows = spark.read.format("markdown_files").option("frontMatter", "true").option("partitionFiles", "1").option("stems", '["f1", "f2"]').load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 2 and sorted(r.path for r in rows.collect()) == ["f1.md", "f2.md"]
+    every = spark.read.format("markdown_files").option("frontMatter", "true").option("denied", '["f5"]').load(str(tmp_path))
+    assert every.filter("stem = 'f1'").count() == 1 and every.count() == 5  # a filter stays with its own query
+    with pytest.raises(Exception, match="f5.md"):
+        spark.read.format("markdown_files").option("frontMatter", "true").load(str(tmp_path)).collect()
+
+
+def test_front_matters():
+    assert files.front_matter("text\n") == ({}, "text")
+    assert files.front_matter("---\n---\nx") == ({}, "x") and files.front_matter("--- x\na: 1\n---\n")[0] == {}
+    assert files.front_matter("---\na: 1\n---") == ({"a": 1}, "")
+    assert files._flat("a: 'x: y'\nb: [p, \"q r\"]\n  c: no\n# d") == {"a": "x: y", "b": ["p", "q r"]}
+    for bad in ("---\n[1\n---\n", "---\njust text\n---\n"):
+        with pytest.raises(ValueError):
+            files.front_matter(bad)
+
+
+def test_corpora_that_are_there(spark, tmp_path):
+    for name in ("js-interview-questions", "notes"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "README.md").write_text(f"# {name}\ntext")
+    specs = [markdown.interview("go-interview-questions", str(tmp_path / "go-interview-questions")), markdown.notes(str(tmp_path / "notes"))]
+    specs[0] = replace(specs[0], git_url="http://x/go")
+    assert [s.name for s in markdown.available(spark, specs)] == ["notes"]
+    found = markdown.readmes(spark, "http://x", ["js-interview-questions", "go-interview-questions"], str(tmp_path)).collect()
+    assert [(r.corpus, r.category, r.title) for r in found] == [("js-interview-questions", "interview.js", "js-interview-questions")]
+    both = markdown.corpora(spark, specs).collect()
+    assert [(r.source, r.language) for r in both] == [("notes/README.md", "rus")] and markdown.corpora(spark, specs[:1]).count() == 0
+
+
 def test_job_folds(spark):
     events = [(1, i, k) for i, k in enumerate(["claim", "fail", "claim", "fail", "claim", "fail"])] + [(2, 0, "claim"), (2, 1, "cancel"), (2, 2, "complete")] + [(3, 0, "claim"), (3, 1, "defer")]
     got = {r.job_id: (r.status, r.attempts, r.wait_s) for r in queue.job_states(spark.createDataFrame(events, "job_id long, seq long, kind string")).collect()}
