@@ -185,13 +185,18 @@ def experiments_with(experiments: DataFrame, runs: DataFrame) -> DataFrame:
     return experiments.select("id", F.explode("run_names").alias("run_name")).join(runs.select("run_name").distinct(), "run_name", "left_semi").select("id", "run_name")
 
 
-def aggregated(experiments: DataFrame, logs: DataFrame) -> DataFrame:
-    """experiments with those as aggregated that are running and whose runs all have logs
-    and none to judge. Done again it changes nothing, as only running ones move."""
+def complete(experiments: DataFrame, logs: DataFrame) -> DataFrame:
+    """(id) of the running experiments whose runs all have logs and none to judge."""
     runs = experiments.filter("status = 'running'").select("id", F.explode("run_names").alias("run_name"))
     counted = runs.join(evals.run_counts(logs), "run_name", "left")
     whole = counted.groupBy("id").agg(F.bool_and((F.coalesce("n", F.lit(0)) > 0) & (F.coalesce("pending", F.lit(0)) == 0)).alias("whole"))
-    done = whole.filter("whole").select("id", F.lit("aggregated").alias("now"))
+    return whole.filter("whole").select("id")
+
+
+def aggregated(experiments: DataFrame, logs: DataFrame) -> DataFrame:
+    """experiments with those that are complete as aggregated. Done again it changes
+    nothing, as only running ones move; ``experiment.aggregate`` adds their results."""
+    done = complete(experiments, logs).withColumn("now", F.lit("aggregated"))
     return experiments.join(done, "id", "left").withColumn("status", F.coalesce("now", "status")).select(*experiments.columns)
 
 

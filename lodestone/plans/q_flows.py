@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config, storage
 from lodestone.functions import text
-from lodestone.operators import agent, flows, models
+from lodestone.operators import agent, experiment, flows, models
 from lodestone.plans import base
 from lodestone.plans.catalog import query
 from lodestone.streaming import queue
@@ -293,3 +293,31 @@ def c10_bootstrap_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f44_verdict_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.when(F.col("event_id") % 3 == 0, "score: 4").otherwise(_text('{"reason": "r", "score": ', F.get_json_object("props", "$.k"), "}"))
     return base.table(spark, sf_dir, "events").select("event_id", text.verdict_error(reply).alias("error"))
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    """Benchmark items as questions; the item is its own reference answer, and every
+    third one isn't answered by the corpus."""
+    item = F.col("item_id")
+    marked = F.when(item % 3 != 0, F.array(_text("src", item % 5), _text("src", item % 7)))
+    return base.table(spark, sf_dir, "benchmark").select(item.alias("id"), F.col("text").alias("original_text"), F.lit("bench").alias("set_name"), F.lit("en").alias("language"), text.text_hash(F.col("text")).alias("text_hash"), F.col("text").alias("reference_answer"), marked.alias("marked_sources"), F.lit(None).cast("array<float>").alias("embedding"))
+
+
+@query("t8_experiment")
+def t8_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An experiment over paraphrased items from draft to results: three values of k. The
+    chain is run twice, the second time a day later, and ``same`` says whether that has
+    changed a row."""
+    schema = "id long, name string, set_name string, param string, param_values array<string>, run_names array<string>, status string, started_at timestamp, finished_at timestamp, elapsed double, results string"
+    drafts = spark.createDataFrame([(1, "sweep", "para", "k", ["1", "3", "5"], None, "draft", None, None, None, None)], schema)
+    state = experiment.State(_questions(spark, sf_dir), spark.createDataFrame([], experiment.LOG), drafts)
+
+    def services(day: str) -> experiment.Services:
+        return experiment.Services(base.index(spark, sf_dir), F.lit(day).cast("timestamp"), base=config.SearchConfig(distance_threshold=2.0), paraphrases=(("bench", "para"),))
+
+    ended = experiment.advance(state, services("2024-01-20 10:00:00"))
+    again = experiment.advance(ended, services("2024-01-21 10:00:00"))
+    tables = [(a, b) for a, b in zip(vars(ended).values(), vars(again).values(), strict=True)]
+    same = all(a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() for a, b in tables)
+    logged = again.logs.groupBy().agg(F.count(F.lit(1)).alias("n_logs"), F.count_if("answered").alias("n_answered"))
+    return again.experiments.crossJoin(logged).select("id", "status", "n_logs", "n_answered", F.get_json_object("results", "$.composite.winner").alias("winner"), "results", "elapsed", F.lit(same).alias("same"))
