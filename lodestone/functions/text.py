@@ -121,6 +121,11 @@ def all_present(wanted: Column, held: Column) -> Column:
     return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, held)) == 0)
 
 
+def truncated(text: Column, size: int) -> Column:
+    """The first characters of a text."""
+    return F.left(text, F.lit(size))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

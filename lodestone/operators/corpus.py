@@ -15,6 +15,13 @@ def chunk_rows(documents: DataFrame, size: int = config.CHUNK_SIZE) -> DataFrame
     return rows.withColumn("lexemes", text.placed_lexemes(F.col("content"), text.search_configuration(F.coalesce("language", F.lit("")))))
 
 
+def committed(chunks: DataFrame, path: str, size: int = config.COMMIT_SIZE) -> DataFrame:
+    """Write chunks in files of at most ``size`` rows, and give them back from there. A
+    task keeps one file's rows in memory, and what a lost task has written is left out."""
+    chunks.write.option("maxRecordsPerFile", size).parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Leave an empty table of the same schema."""
     held = spark.read.parquet(path)

@@ -36,6 +36,12 @@ def hit_rank(got: Column, expected: Column) -> Column:
     return F.when(place > 0, place)
 
 
+def source_places(logs: DataFrame) -> DataFrame:
+    """(id, source, place): the sources of each log with their places from 1."""
+    listed = logs.select("id", F.posexplode("sources").alias("_p", "_s"))
+    return listed.select("id", F.col("_s.source").alias("source"), (F.col("_p") + 1).alias("place"))
+
+
 def rounded_mean(value: Column) -> Column:
     """The mean of what isn't null, two digits."""
     return exact_round(F.avg(value), 2)

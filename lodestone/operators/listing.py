@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.numeric import exact_round
+
 MOST_ROWS = 1000
 
 
@@ -70,6 +73,23 @@ def json_text(column: str, path: str) -> Column:
     return F.get_json_object(column, f"$.{path}")
 
 
+def holds(column: str, wanted: str) -> Column:
+    """Whether a JSON array of texts holds a value; an array that isn't one holds none."""
+    return F.coalesce(F.array_contains(F.from_json(F.col(column), "array<string>"), wanted), F.lit(False))
+
+
+def absent_or_below(column: str, path: str, bound: int) -> Column:
+    """Whether a whole number in a JSON text isn't there or is below a bound."""
+    held = F.try_variant_get(F.try_parse_json(F.col(column)), f"$.{path}", "int")
+    return held.isNull() | (held < bound)
+
+
+def elapsed(first: Column, last: Column) -> Column:
+    """Seconds from one timestamp to another, one digit."""
+    seconds = [F.unix_micros(t.cast("timestamp")) / 1e6 for t in (first, last)]
+    return exact_round(seconds[1] - seconds[0], 1)
+
+
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     """The row with a key; LookupError if there is none."""
     found = rows.filter(F.col(key) == F.lit(value)).limit(1)
@@ -87,18 +107,45 @@ def random_sample(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame
     return rows.orderBy(F.rand(seed)).limit(n)
 
 
-def insert_new(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of fresh whose key the table doesn't have; of equal keys any one row counts."""
-    return fresh.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*fresh.columns)
+def first_of_equal(rows: DataFrame, key: str | Column, order: str | Column) -> DataFrame:
+    """One row for each key, the one that comes first by ``order``; partial minima."""
+    named = rows.withColumn("_key", F.col(key) if isinstance(key, str) else key)
+    first = named.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return first.select("_row.*")
+
 
+def insert_new(existing: DataFrame, fresh: DataFrame, key: str, order: str | Column | None = None) -> DataFrame:
+    """Rows of fresh whose key the table doesn't have; of equal keys the first by
+    ``order`` counts, which rows with unequal keys can do without."""
+    once = fresh.dropDuplicates([key]) if order is None else first_of_equal(fresh, key, order)
+    return once.join(existing.select(key), key, "left_anti").select(*fresh.columns)
 
-def upsert(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+
+def upsert(existing: DataFrame, fresh: DataFrame, key: str, order: str | Column | None = None) -> DataFrame:
     """existing with the rows of fresh in place of those with the same key; of equal keys
-    in fresh any one row counts."""
-    fresh = fresh.dropDuplicates([key])
+    in fresh the last by ``order`` counts, as each replaces the one before."""
+    if order is None:
+        fresh = fresh.dropDuplicates([key])
+    else:
+        fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*fresh.columns), order).alias("_row")).select("_row.*")
     return existing.join(fresh.select(key), key, "left_anti").select(*existing.columns).unionByName(fresh.select(*existing.columns))
 
 
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, by column name."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def union_of(*names: DataFrame) -> DataFrame:
+    """The different rows of all parts."""
+    return concatenated(*names).distinct()
+
+
+def missing_from(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """The different wanted rows that present lacks."""
+    return wanted.subtract(present.select(*wanted.columns))
+
+
 def activate(prompts: DataFrame, purpose: str, target: int) -> DataFrame:
     """One active prompt for a purpose: the target, and none of its siblings."""
     return prompts.withColumn("active", F.when(F.col("purpose") == purpose, F.col("id") == target).otherwise(F.col("active")))

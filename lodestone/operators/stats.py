@@ -16,12 +16,17 @@ from lodestone.functions.numeric import exact_round
 AXES = ("faithfulness", "relevance", "completeness")
 
 
-def composite(metrics: DataFrame, axes=AXES, k: int = config.RRF_K) -> DataFrame:
-    """(run_name, rrf, place): runs by the sum of reciprocal ranks over the axes. A null
-    value has no rank; retrieval metrics take no part. Ties keep ``position`` order."""
+def axis_ranks(metrics: DataFrame, axes=AXES) -> DataFrame:
+    """(run_name, axis, value, rank): the place of each run on each axis, largest first. A
+    null value has no rank; ties keep ``position`` order."""
     long = metrics.select("run_name", "position", *axes).unpivot(["run_name", "position"], list(axes), "axis", "value").filter("value is not null")
-    ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("value"), "position")))
-    summed = ranked.groupBy("run_name").agg(F.sum(vector.rrf(F.col("rank"), k)).alias("rrf"))
+    return long.withColumn("rank", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("value"), "position"))).drop("position")
+
+
+def composite(metrics: DataFrame, axes=AXES, k: int = config.RRF_K) -> DataFrame:
+    """(run_name, rrf, place): runs by the sum of reciprocal ranks over the axes; retrieval
+    metrics take no part. Ties keep ``position`` order."""
+    summed = axis_ranks(metrics, axes).groupBy("run_name").agg(F.sum(vector.rrf(F.col("rank"), k)).alias("rrf"))
     every = metrics.select("run_name", "position").join(summed, "run_name", "left").withColumn("rrf", F.round(F.coalesce("rrf", F.lit(0.0)), 9))
     return every.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rrf"), "position")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import evals, stats
@@ -73,7 +73,7 @@ def p19_remote_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w5_source_places", f"WITH {LOGS} SELECT id, unnest(sources) AS source, unnest([1, 2, 3]) AS place FROM logs")
 def w5_source_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.logs(spark, sf_dir).select("id", F.posexplode("sources").alias("p", "s")).select("id", F.col("s.source").alias("source"), (F.col("p") + 1).alias("place"))
+    return evals.source_places(base.logs(spark, sf_dir))
 
 
 def _metrics(spark, sf_dir):
@@ -95,8 +95,7 @@ def x3_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w4_axis_ranks", f"{_COMPOSITE} SELECT run_name, axis, value, rank FROM placed")
 def w4_axis_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _metrics(spark, sf_dir).select("run_name", "position", *stats.AXES).unpivot(["run_name", "position"], list(stats.AXES), "axis", "value").filter("value is not null")
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("value"), "position"))).select("run_name", "axis", "value", "rank")
+    return stats.axis_ranks(_metrics(spark, sf_dir))
 
 
 _PAIRS = f"""WITH {LOGS}, b AS (SELECT question_id, arg_max({{'f': faithfulness, 'r': relevance, 'c': completeness}}, id) AS v FROM logs WHERE run_name = 'src2' GROUP BY question_id),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.functions import language, text
-from lodestone.functions.numeric import exact_round
-from lodestone.operators import evals, listing, models
+from lodestone.operators import corpus, evals, listing, loglist, models, registry
 from lodestone.plans import base
 from lodestone.plans.catalog import query
 from lodestone.sources import questions
@@ -60,7 +60,8 @@ def p12_has_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p13_array_contains", "SELECT doc_id FROM documents WHERE list_contains([lang, source], 'en')")
 def p13_array_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").filter(F.array_contains(F.array("lang", "source"), "en")).select("doc_id")
+    rows = base.table(spark, sf_dir, "documents").withColumn("allowed", F.to_json(F.array("lang", "source")))
+    return rows.filter(listing.holds("allowed", "en")).select("doc_id")
 
 
 @query("p14_json_text", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '5'")
@@ -70,8 +71,7 @@ def p14_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p15_json_number", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IS NULL OR json_extract_string(props, '$.k')::INTEGER < 3")
 def p15_json_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "int")
-    return base.table(spark, sf_dir, "events").filter(k.isNull() | (k < 3)).select("event_id")
+    return base.table(spark, sf_dir, "events").filter(listing.absent_or_below("props", "k", 3)).select("event_id")
 
 
 @query("l1_lookup", "SELECT * FROM customer WHERE c_custkey = 7")
@@ -84,10 +84,12 @@ def o6_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.seeded_sample(base.table(spark, sf_dir, "orders"), 100, 42, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("k3_insert_new", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal < -900)")
+@query("k3_insert_new", "SELECT l_orderkey, first(mode ORDER BY line, mode) AS mode FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS mode, min(l_linenumber) AS line FROM lineitem GROUP BY ALL) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")
 def k3_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = base.table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey"))
-    return listing.insert_new(held, base.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    """The first line of each order that isn't closed yet."""
+    held = base.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = base.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("mode")).agg(F.min("l_linenumber").alias("line"))
+    return listing.insert_new(held, lines, "l_orderkey", F.struct("line", "mode")).select("l_orderkey", "mode")
 
 
 @query("k13_upsert", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'moved' ELSE s_name END AS s_name FROM supplier")
@@ -118,39 +120,85 @@ def k7_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.activate(_prompts(spark, sf_dir), "Brand#11", 9)
 
 
-@query("so2_difference", "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
+@query("so2_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def so2_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = base.table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey")
-    return base.table(spark, sf_dir, "nation").select("n_nationkey").subtract(held)
+    """Documents without a label."""
+    return listing.missing_from(base.table(spark, sf_dir, "documents").select("doc_id"), base.table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("so4_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+@query("so4_union", "SELECT CASE WHEN contains(n, ':') THEN n ELSE n || ':latest' END AS name FROM (SELECT c_mktsegment AS n FROM customer UNION SELECT s_name FROM supplier)")
 def so4_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).union(base.table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    """Segments as roles' models and suppliers as candidates."""
+    roles, candidates = base.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")), base.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    return registry.wanted_models(roles, candidates)
 
 
 @query("so1_concatenate", "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents")
 def so1_concatenate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").unionByName(base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return listing.concatenated(base.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), base.table(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("id")))
 
 
-@query("j7_role_models", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("j7_role_models", "SELECT 'c' || c_custkey AS role, n_name AS name, CASE n_regionkey WHEN 0 THEN 'ready' ELSE 'new' END AS status FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def j7_role_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n, r = (base.table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    """Customers as roles, nations as the models that they are given."""
+    roles = base.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("role"), F.col("c_nationkey").alias("model_id"))
+    models_ = base.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 0, "ready").otherwise("new").alias("status"))
+    return registry.role_models(roles, models_)
 
 
-@query("j5_left_lookup", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def j5_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").select("doc_id").join(base.table(spark, sf_dir, "labels"), "doc_id", "left")
+@query("k14_created_models", "SELECT s_name || ':latest' AS name, 'new' AS status, '{\"name\":\"' || s_name || ':latest\"}' AS options FROM supplier WHERE s_suppkey % 3 <> 0")
+def k14_created_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that suppliers ask for and nobody has, with the pulls that they need."""
+    rows = base.table(spark, sf_dir, "supplier")
+    held = rows.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"), text.model_tag(F.col("s_name")).alias("name"), F.lit("ready").alias("status"))
+    models_, pulls = registry.found_or_created(held, rows.select(F.col("s_name").alias("name")))
+    named = pulls.select(F.get_json_object("options", "$.name").alias("name"), "options")
+    return models_.filter("status = 'new'").join(named, "name").select("name", "status", "options")
 
 
-@query("j13_same_run", "SELECT a.event_id AS job, b.event_id AS judge FROM events a JOIN events b ON a.user_id = b.user_id AND json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k') WHERE a.event_type = 'purchase' AND b.event_type = 'signup'")
-def j13_same_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", listing.json_text("props", "k").alias("run"))
-    a = rows.filter("event_type = 'purchase'").select(F.col("event_id").alias("job"), "user_id", "run")
-    b = rows.filter("event_type = 'signup'").select(F.col("event_id").alias("judge"), "user_id", "run")
-    return a.join(b, ["user_id", "run"]).select("job", "judge")
+def _question_logs(spark, sf_dir):
+    """Assistants' turns as logs of the question that opens their conversation."""
+    rows = base.table(spark, sf_dir, "conversations")
+    turns = rows.groupBy("conv_id", "turn").agg(F.min_by("text", "text").alias("text"), F.min("role").alias("role"))
+    none = F.lit(None).cast("string")
+    stamp = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn"))
+    logs = turns.filter("turn > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("run"), F.col("conv_id") % 3).alias("run_name"), F.when(F.col("turn") % 2 == 0, "agent").otherwise("single_shot").alias("pipeline"), F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")).alias("question_id"), (F.length("text") > 200).alias("answered"), F.col("text").alias("answer"), F.lit("c").alias("context"), (F.col("turn") % 11).cast("string").alias("faithfulness"), none.alias("relevance"), none.alias("completeness"), stamp.cast("timestamp_ntz").alias("created_at"))
+    questions_ = turns.filter("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("original_text"), F.concat(F.lit("set"), F.col("conv_id") % 2).alias("set_name"))
+    return logs, questions_
+
+
+_QUESTION_LOGS = """turns AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+lg AS (SELECT conv_id * 1000 + turn AS id, 'run' || (conv_id % 3) AS run_name, CASE WHEN turn % 2 = 0 THEN 'agent' ELSE 'single_shot' END AS pipeline, CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS question_id, length(text) > 200 AS answered, turn % 11 AS faithfulness, conv_id * 60 + turn AS at_ FROM turns WHERE turn > 0),
+qs AS (SELECT conv_id AS question_id, text AS question_text, 'set' || (conv_id % 2) AS set_name FROM turns WHERE turn = 0)"""
+
+
+@query("j5_question_logs", f"WITH {_QUESTION_LOGS} SELECT id, run_name, answered, sha256(question_text) AS question, set_name FROM lg LEFT JOIN qs USING (question_id)")
+def j5_question_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log with its question, if it has one."""
+    return loglist.items(*_question_logs(spark, sf_dir)).select("id", "run_name", "answered", F.sha2(F.col("question_text").cast("binary"), 256).alias("question"), "set_name")
+
+
+@query("j4_filtered_logs", f"WITH {_QUESTION_LOGS} SELECT id, run_name, pipeline, set_name FROM lg JOIN qs USING (question_id) WHERE question_text ILIKE '%er%' AND set_name IN ('set0', 'set7') AND run_name IN ('run0', 'run2') AND answered AND faithfulness IN (1, 2, 3) AND at_ >= 600")
+def j4_filtered_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inner join that filters on the question ask for."""
+    from datetime import datetime
+
+    wanted = loglist.LogFilter(text="ER", set_name=("set0", "set7"), run_name=("run0", "run2"), answered=True, faithfulness=("1", "2", "3"), created_from=datetime(2023, 11, 14, 22, 23, 20))
+    return loglist.items(*_question_logs(spark, sf_dir), wanted).select("id", "run_name", "pipeline", "set_name")
+
+
+def _run_jobs(spark, sf_dir):
+    """Orders as jobs: an evaluation each, and a judge of the same run for most."""
+    orders = base.table(spark, sf_dir, "orders")
+    run = F.to_json(F.struct(F.concat(F.lit("r"), F.col("o_orderkey")).alias("run_name")))
+    evaluations = orders.select((F.col("o_orderkey") * 2).alias("id"), F.lit("eval_run").alias("type"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("running").alias("status"), run.alias("options"))
+    judges = orders.filter("o_custkey % 3 <> 0").select((F.col("o_orderkey") * 2 + 1).alias("id"), F.lit("judge_answers").alias("type"), F.when(F.col("o_orderstatus") == "P", "done").otherwise("new").alias("status"), run.alias("options"))
+    return evaluations.unionByName(judges)
+
+
+@query("j13_dependents", "SELECT o_orderkey * 2 AS job, o_orderkey * 2 + 1 AS judge FROM orders WHERE o_custkey % 3 <> 0 AND o_orderstatus <> 'P'")
+def j13_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.dependents(_run_jobs(spark, sf_dir))
 
 
 @query("f11_chunk_sizes", f"WITH t AS (SELECT doc_id AS key, text FROM documents), {base.chunk_ctes('t')} SELECT key AS doc_id, chunk_index, length(content)::INTEGER AS n_chars, sha256(content) AS text_hash FROM pieces")
@@ -219,13 +267,13 @@ def f26_model_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f28_truncate", "SELECT doc_id, left(text, 500) AS shown FROM documents")
 def f28_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(500)).alias("shown"))
+    return base.table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 500).alias("shown"))
 
 
 @query("f6_elapsed", "SELECT user_id, format('{:.1f}', epoch(max(ts)) - epoch(min(ts)))::DOUBLE AS elapsed FROM events GROUP BY user_id")
 def f6_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base.table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return rows.groupBy("user_id").agg(exact_round(F.max("at") - F.min("at"), 1).alias("elapsed"))
+    ends = base.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return ends.select("user_id", listing.elapsed(F.col("first"), F.col("last")).alias("elapsed"))
 
 
 @query("s14_question_import", """SELECT DISTINCT line AS question, sha256(line) AS text_hash FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark) WHERE line <> '' AND line NOT LIKE '#%'""")
@@ -246,7 +294,8 @@ def s22_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w6_first_of_equal", "SELECT min(doc_id) AS doc_id, sha256(text) AS text_hash FROM documents GROUP BY text")
 def w6_first_of_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").groupBy(text.text_hash(F.col("text")).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"))
+    rows = base.table(spark, sf_dir, "documents").select("doc_id", text.text_hash(F.col("text")).alias("text_hash"))
+    return listing.first_of_equal(rows, "text_hash", "doc_id")
 
 
 def _jobs(spark, sf_dir):
@@ -297,14 +346,22 @@ def t7_illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.illegal_transitions(history)
 
 
-@query("t5_cancel", f"{_JOBS} SELECT id, CASE WHEN id = 1 AND status IN ('new', 'running') THEN 'cancelled' ELSE status END AS status FROM jobs")
+@query("t5_cancel", """WITH e AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_custkey % 3 <> 0 AND o_orderstatus = 'O'),
+j AS (SELECT o_orderkey * 2 AS id, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'running' END AS status FROM orders UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'done' ELSE 'new' END FROM orders WHERE o_custkey % 3 <> 0)
+SELECT id, CASE WHEN o_orderkey = k AND status IN ('new', 'running') THEN 'cancelled' ELSE status END AS status FROM j, e""")
 def t5_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.cancelled(_jobs(spark, sf_dir), 1).select("id", "status")
-
-
-@query("k1_chunk_volume", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag")
-def k1_chunk_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    """An evaluation and the judge that waits for it, among all jobs."""
+    first = base.table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0 AND o_orderstatus = 'O'").agg(F.min("o_orderkey")).first()[0]
+    return queue.cancelled(_run_jobs(spark, sf_dir), first * 2).select("id", "status")
+
+
+@query("k1_committed_chunks", f"WITH t AS (SELECT doc_id AS key, text FROM documents), {base.chunk_ctes('t')} SELECT count(*) AS chunks, sum(length(content))::BIGINT AS chars, true AS small FROM pieces")
+def k1_committed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, written at most a thousand rows a file."""
+    docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("lang").alias("corpus"), F.col("lang").alias("category"), F.lit("unknown").alias("language"), "text")
+    held = corpus.committed(corpus.chunk_rows(docs).drop("lexemes"), storage.fresh(spark, "chunks"), 1000)
+    files = held.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    return files.agg(F.sum("n").alias("chunks"), F.sum("chars").alias("chars"), F.bool_and(F.col("n") <= 1000).alias("small"))
 
 
 @query("a8_rounded_mean", "SELECT source, format('{:.2f}', avg(quality))::DOUBLE AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")

@@ -109,6 +109,14 @@ def may_move(before: Column, after: Column, legal=INTEGRATION) -> Column:
     return (before == after) | F.concat_ws(">", before, after).isin(*[f"{a}>{b}" for a, b in legal])
 
 
+def dependents(jobs: DataFrame) -> DataFrame:
+    """(job, judge): the judging jobs of each evaluation's run that can still be stopped.
+    A run names a handful of jobs; those without a run depend on nothing."""
+    named = jobs.withColumn("_run", F.get_json_object("options", "$.run_name")).filter(F.col("_run").isNotNull())
+    judges = named.filter((F.col("type") == "judge_answers") & F.col("status").isin("new", "running")).select(F.col("id").alias("judge"), "_run")
+    return named.filter(F.col("type") == "eval_run").select(F.col("id").alias("job"), "_run").join(judges, "_run").select("job", "judge")
+
+
 def cancelled(jobs: DataFrame, job_id: int) -> DataFrame:
     """jobs with one job cancelled and, for an evaluation, the judge of the same run;
     only what is new or running can be."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.operators import evals, listing, models, retrieval, stats
+from lodestone.operators import corpus, evals, listing, loglist, models, registry, retrieval, stats
 from lodestone.sources import files, markdown, questions
 from lodestone.streaming import queue
 
@@ -148,6 +148,71 @@ def test_paging(spark):
     assert [r.id for r in listing.paged(rows, listing.Page(sort_by="v", sort_order="asc", columns={"v": "v"})).collect()] == [2, 3, 1]
 
 
+def test_of_equal_keys_the_first_is_new_and_the_last_replaces(spark):
+    held = spark.createDataFrame([("a", 0, "old")], "k string, n int, v string")
+    fresh = spark.createDataFrame([("b", 2, "second"), ("b", 1, "first"), ("a", 1, "x"), ("a", 3, "y")], "k string, n int, v string")
+    assert [tuple(r) for r in listing.insert_new(held, fresh, "k", "n").collect()] == [("b", 1, "first")]
+    assert sorted(tuple(r) for r in listing.upsert(held, fresh, "k", "n").collect()) == [("a", 3, "y"), ("b", 2, "second")]
+
+
+def test_json_conditions(spark):
+    rows = spark.createDataFrame([('["a","b"]', '{"k": 2}'), ("no", '{"k": 5}'), (None, None), ("[]", "{")], "a string, j string")
+    assert [r.x for r in rows.select(listing.holds("a", "b").alias("x")).collect()] == [True, False, False, False]
+    assert [r.x for r in rows.select(listing.absent_or_below("j", "k", 3).alias("x")).collect()] == [True, False, True, True]
+
+
+def test_model_tables(spark):
+    tables = spark.createDataFrame([(1, "m:latest", "ready"), (4, "n:1", "new")], "id long, name string, status string")
+    roles = spark.createDataFrame([("judge", 1), ("none", 9)], "role string, model_id long")
+    assert [tuple(r) for r in registry.role_models(roles, tables).collect()] == [("judge", "m:latest", "ready")]
+    assert sorted(tuple(r) for r in registry.assign(roles, tables, "judge", "n:1").collect()) == [("judge", 4), ("none", 9)]
+    with pytest.raises(LookupError):
+        registry.assign(roles, tables, "judge", "absent")
+    names = spark.createDataFrame([("m",), ("new",), ("new:latest",)], "name string")
+    models_, pulls = registry.found_or_created(tables, names)
+    got = {r.name: (r.id, r.status) for r in models_.collect()}
+    assert set(got) == {"m:latest", "n:1", "new:latest"} and got["new:latest"][0] > 4 and got["new:latest"][1] == "new"
+    assert [r.options for r in pulls.collect()] == ['{"name":"new:latest"}']
+    left, job = registry.deleted(tables, roles, 4)
+    assert [r.id for r in left.collect()] == [1] and job.first().options == '{"name":"n:1"}'
+    with pytest.raises(ValueError):
+        registry.deleted(tables, roles, 1)
+    with pytest.raises(LookupError):
+        registry.deleted(tables, roles, 7)
+
+
+def test_integrations(spark):
+    rows = spark.createDataFrame([(1, "a", "draft", ["x"])], "id long, name string, status string, tools array<string>")
+    fresh = spark.createDataFrame([("b", 2, "draft", [])], "name string, id long, status string, tools array<string>")
+    assert registry.created_integration(rows, fresh).count() == 2
+    with pytest.raises(ValueError):
+        registry.created_integration(rows, fresh.withColumn("name", F.lit("a")))
+    moved = registry.replaced_integration(rows, 1, status="active", tools=["y", "z"]).first()
+    assert (moved.status, moved.tools, moved.name) == ("active", ["y", "z"], "a")
+    with pytest.raises(ValueError):
+        registry.replaced_integration(rows, 1, status="unreachable")
+
+
+def test_log_listing(spark):
+    from datetime import datetime
+
+    logs = spark.createDataFrame([(1, "r", "agent", 7, True, "x", "ctx", "5", None, None, datetime(2024, 1, 2)), (2, "s", "agent", None, False, None, None, None, None, None, datetime(2024, 1, 3))], "id long, run_name string, pipeline string, question_id long, answered boolean, answer string, context string, faithfulness string, relevance string, completeness string, created_at timestamp_ntz")
+    asked = spark.createDataFrame([(7, "What is Redis?", "base")], "id long, original_text string, set_name string")
+    every = loglist.page_of(logs, asked, loglist.LogFilter(), listing.Page(sort_by="created_at", columns=loglist.SORTED_BY)).collect()
+    assert [(r.id, r.question_text) for r in every] == [(2, None), (1, "What is Redis?")] and "context" not in every[0].asDict()
+    assert [r.id for r in loglist.items(logs, asked, loglist.LogFilter(text="redis")).collect()] == [1]
+    assert loglist.items(logs, asked, loglist.LogFilter(set_name=("other",))).count() == 0
+    assert [r.id for r in loglist.items(logs, asked, loglist.LogFilter(created_from=datetime(2024, 1, 3), answered=False, pipeline=("agent",))).collect()] == [2]
+    assert loglist.detail(logs, asked, 1).first().context == "ctx"
+    with pytest.raises(LookupError):
+        loglist.detail(logs, asked, 3)
+
+
+def test_commits_are_bounded(spark, tmp_path):
+    held = corpus.committed(spark.range(25).coalesce(1), str(tmp_path / "c"), 10)
+    assert sorted(r["count"] for r in held.groupBy(F.input_file_name()).count().collect()) == [5, 10, 10]
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(1, "running", "")], "id int, status string, conclusion string")
     with pytest.raises(ValueError):
