@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -213,6 +214,39 @@ def test_commits_are_bounded(spark, tmp_path):
     assert sorted(r["count"] for r in held.groupBy(F.input_file_name()).count().collect()) == [5, 10, 10]
 
 
+CONFIG = """
+service:
+  retrieval: {distance_threshold: 1, results_limit: 5, limit_vector: 20, limit_keywords: 21, rrf_k: 60}
+  rerank: {enabled: true, top: 4}
+  ingestion: {batch_size: 100, commit_size: 1000, chunk_max_size: 1024}
+  ignored_sources: [index.md]
+  repos_dir: /repos
+  prompts_dir: prompts
+  sources: {interview: {base_url: http://x, language: eng, repos: [a, b]}}
+llm:
+  base_url: http://y
+  roles: {judging: {model: j, options: {temperature: 0}}, generation: {model: g}}
+  candidates: [g, z]
+postgres: {host: h}
+mcp_integrations: {secret_env: [KNOWN]}
+"""
+
+
+def test_whole_configurations(tmp_path, monkeypatch):
+    path = tmp_path / "c.yaml"
+    path.write_text(CONFIG)
+    got = config.Settings.from_yaml(str(path))
+    assert got.search() == config.SearchConfig(1.0, 5, 20, 21, 60, True, 20) and got.rerank.top == 4 and got.agent.max_hops == 4
+    assert got.sources.interview.repos == ("a", "b") and got.llm.pull_models == ["g", "j", "z"] and got.llm.roles["judging"].options == {"temperature": 0}
+    monkeypatch.setenv("KNOWN", "s")
+    monkeypatch.setenv("OTHER", "t")
+    assert (got.mcp_integrations.secret("KNOWN"), got.mcp_integrations.secret("OTHER")) == ("s", "")
+    for old, new, said in (("results_limit: 5", "results_limit: five", "retrieval.results_limit: int"), ("rrf_k: 60", "rrfk: 60", "retrieval.rrfk: unknown"), ("  repos_dir: /repos\n", "", "repos_dir: missing"), ("[index.md]", "index.md", "ignored_sources: a list"), ("enabled: true", "enabled: 1", "rerank.enabled: bool"), ("service:", "servce:", "service: a section")):
+        path.write_text(CONFIG.replace(old, new))
+        with pytest.raises(ValueError, match=re.escape(said)):
+            config.Settings.from_yaml(str(path))
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(1, "running", "")], "id int, status string, conclusion string")
     with pytest.raises(ValueError):
