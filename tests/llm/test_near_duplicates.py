@@ -291,3 +291,30 @@ def test_lines_with_clashing_names_and_a_long_line(spark):
     assert (got[1].text, got[1]._row, got[1].key, got[1].gone, got[1].n_removed) == ("some line here\nother line", "mine", 3, "f", 0)
     assert got[2].text == long and got[3].text == "" and got[3].n_removed == 1
     assert got[None].text is None
+
+
+@pytest.mark.parametrize("rare", [0, 1, 2])
+def test_one_typing_error_in_lines_of_frequent_words(spark, rare):
+    """Every word of the vocabulary is frequent; an error makes one that is seen once."""
+    rng = random.Random(rare)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    lines, pairs = [], []
+    for i in range(4000):
+        words = [rng.choice(vocabulary) for _ in range(14)]
+        for j in range(rare):
+            words[rng.randrange(14)] = f"only{i}x{j}"
+        lines.append((i, " ".join(words)))
+        if i < 300:
+            at = rng.choice([k for k, w in enumerate(words) if not w.startswith("only")])
+            w = words[at]
+            k = rng.randrange(len(w))
+            words[at] = w[:k] + rng.choice("0123456789") + w[k + 1 :]
+            lines.append((10_000 + i, " ".join(words)))
+            pairs.append((i, 10_000 + i))
+    frame = spark.createDataFrame(lines, "key long, norm string")
+    assert linededup.frequent(frame).count() >= 250
+    got = {r.key: r.group for r in linededup.groups(frame, 0.8).collect()}
+    found = sum(a in got and got[a] == got.get(b) for a, b in pairs)
+    print("linked", found)
+    assert found >= 0.9 * len(pairs)
+    assert len(got) <= 2 * len(pairs)  # lines without a copy are linked with nothing
