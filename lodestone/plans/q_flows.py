@@ -165,10 +165,10 @@ def k4_insert_or_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.insert_or_get(existing, rows.drop("lang"), "text_hash")
 
 
-@query("c7_eval_targets", "SELECT o_orderkey AS id, o_orderpriority AS set_name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+@query("c7_eval_targets", "SELECT o_orderkey AS id, o_orderpriority AS set_name FROM orders WHERE o_orderkey IN (SELECT doc_id FROM labels)")
 def c7_eval_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = base.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("set_name"))
-    return flows.eval_targets(questions, ids=base.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("id")))
+    return flows.eval_targets(questions, ids=base.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
 @query("c6_paraphrased", """WITH p AS (SELECT array_to_string(list_reverse(string_split(text, ' ')), ' ') AS question, length(text) % 2 = 0 AS known FROM benchmark)
@@ -214,11 +214,11 @@ def j14_experiments_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.experiments_with(_experiments(spark, sf_dir), base.table(spark, sf_dir, "documents").filter("lang <> 'en'").select(F.col("source").alias("run_name")))
 
 
-@query("t8_aggregated", f"""WITH {base.LOGS}, {_EXPERIMENTS}, n AS (SELECT run_name, count(*) AS n, count(*) FILTER (answered AND context <> '' AND faithfulness IS NULL) AS pending FROM logs WHERE NOT ends_with(run_name, '3') GROUP BY run_name),
+@query("t8_aggregated", f"""WITH {base.LOGS}, {_EXPERIMENTS}, n AS (SELECT run_name, count(*) AS n, count(*) FILTER (answered AND context <> '' AND faithfulness IS NULL) AS pending FROM logs GROUP BY run_name),
 w AS (SELECT id, bool_and(coalesce(n, 0) > 0 AND coalesce(pending, 0) <= 0) AS whole FROM (SELECT id, unnest(run_names) AS run_name FROM x) LEFT JOIN n USING (run_name) GROUP BY id)
 SELECT id, CASE WHEN status = 'running' AND whole THEN 'aggregated' ELSE status END AS status FROM x JOIN w USING (id)""")
 def t8_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.aggregated(_experiments(spark, sf_dir), base.logs(spark, sf_dir).filter(~F.col("run_name").endswith("3"))).select("id", "status")
+    return flows.aggregated(_experiments(spark, sf_dir), base.logs(spark, sf_dir)).select("id", "status")
 
 
 @query("a17_index_totals", "SELECT count(DISTINCT source) AS sources, count(*) AS chunks FROM documents")
