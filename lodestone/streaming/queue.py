@@ -141,28 +141,38 @@ def probed(status: Column, error: Column) -> Column:
     return F.when((status == "active") & error.isNotNull(), "unreachable").when((status == "unreachable") & error.isNull(), "active").otherwise(status)
 
 
+def _folded(kinds: list[str], most: int) -> tuple[str, int, int]:
+    """(status, attempts, delay) after a job's events in order, as job_states() has it."""
+    status, attempts, wait = "new", 0, 0
+    for kind in kinds:
+        if status == "cancelled":
+            break
+        if kind == "claim" and status == "new":
+            status, wait = "running", 0
+        elif kind == "complete" and status == "running":
+            status, wait = "done", 0
+        elif kind == "fail" and status == "running":
+            attempts += 1
+            status, wait = ("new", attempts * config.BACKOFF_SECONDS) if attempts < most else ("error", 0)
+        elif kind == "defer" and status == "running":
+            status, wait = "new", config.BACKOFF_SECONDS // 2
+        elif kind == "cancel" and status in ("new", "running"):
+            status, wait = "cancelled", 0
+    return status, attempts, wait
+
+
 def job_state_stream(events: DataFrame, most: int = config.WORKER_ATTEMPTS) -> DataFrame:
     """job_states() of a stream: each trigger emits the jobs that had events. State is a
-    job's status, attempts and delay."""
+    job's own events, a few for each attempt, so that events which arrive in a later trigger
+    than ones that follow them still count in their order."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, attempts, wait = state.get if state.exists else ("new", 0, 0)
-        rows = pd.concat(list(parts)).sort_values("seq")  # one trigger's events of one job
-        for kind in rows["kind"]:
-            if status == "cancelled":
-                break
-            if kind == "claim" and status == "new":
-                status, wait = "running", 0
-            elif kind == "complete" and status == "running":
-                status, wait = "done", 0
-            elif kind == "fail" and status == "running":
-                attempts += 1
-                status, wait = ("new", attempts * config.BACKOFF_SECONDS) if attempts < most else ("error", 0)
-            elif kind == "defer" and status == "running":
-                status, wait = "new", config.BACKOFF_SECONDS // 2
-            elif kind == "cancel" and status in ("new", "running"):
-                status, wait = "cancelled", 0
-        state.update((status, attempts, wait))
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for part in parts:
+            held += zip(part["seq"].tolist(), part["kind"].tolist(), strict=True)
+        held.sort()
+        state.update(([seq for seq, _ in held], [kind for _, kind in held]))
+        status, attempts, wait = _folded([kind for _, kind in held], most)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "wait_s": [wait]})
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, f"job_id long, {STATE}", STATE, "update", "NoTimeout")
+    return events.groupBy("job_id").applyInPandasWithState(fold, f"job_id long, {STATE}", "seqs array<long>, kinds array<string>", "update", "NoTimeout")

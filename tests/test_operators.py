@@ -374,6 +374,20 @@ def test_job_stream_agrees_with_the_fold(spark, tmp_path):
     assert sorted(map(tuple, spark.table("jobs_out").collect())) == sorted(map(tuple, queue.job_states(frame).collect()))
 
 
+def test_events_of_a_later_trigger_count_in_their_order(spark, tmp_path):
+    schema = "job_id long, seq long, kind string"
+    late = [(1, 1, "fail"), (1, 3, "complete"), (2, 0, "claim"), (2, 2, "complete"), (3, 0, "claim")]
+    early = [(1, 0, "claim"), (1, 2, "claim"), (2, 1, "cancel"), (3, 1, "defer")]
+    seen = {}
+    for rows in (late, early):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = queue.job_state_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        run = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({r.job_id: tuple(r)[1:] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+    want = queue.job_states(spark.createDataFrame(late + early, schema)).collect()
+    assert seen == {r.job_id: tuple(r)[1:] for r in want} and seen[1][0] == "done" and seen[2][0] == "cancelled"
+
+
 def test_transitions(spark):
     rows = spark.createDataFrame([(1, 0, "draft"), (1, 1, "running"), (1, 2, "draft")], "entity int, seq int, status string")
     assert [(r.before, r.status) for r in queue.illegal_transitions(rows).collect()] == [("running", "draft")]
