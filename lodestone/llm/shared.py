@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import gc
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
+from lodestone import storage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else ""
-    if not where:
-        where = f"file://{LOCAL_SHARED}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where if ":" in where else f"file://{os.path.abspath(where)}"
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. A
+    session on a cluster that has it unset is refused."""
+    return storage.shared_dir(spark)
 
 
 def fresh(spark: SparkSession, what: str) -> str:
