@@ -99,14 +99,20 @@ def profiles(texts: DataFrame, language: str, text: str) -> DataFrame:
 
 def detected(texts: DataFrame, key: str, text: str, profile: DataFrame) -> DataFrame:
     """(key, language, score) of each text; both null where no gram is known. Ties go to
-    the language that sorts first."""
+    the language that sorts first. A language is a column here: there are a few."""
+    names = sorted(r.language for r in profile.select("language").distinct().collect())
+    columns = [f"w{i}" for i in range(len(names))]
+    none = F.lit(None)
+    if not names:
+        return texts.select(key, none.cast("string").alias("language"), none.cast("long").alias("score"))
+    weights = profile.groupBy("gram").agg(*[F.sum(F.when(F.col("language") == n, F.col("weight")).otherwise(0)).alias(c) for c, n in zip(columns, names, strict=True)])
     words = _word_counts(texts, text, key)
-    known = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("gram")).join(profile, "gram")
-    scores = known.groupBy("word", "language").agg(F.sum("weight").alias("weight"))
-    summed = words.join(scores, "word").groupBy(key, "language").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
-    first = F.min(F.struct((-F.col("score")).alias("minus"), "language")).alias("best")
-    best = summed.filter("score > 0").groupBy(key).agg(first)
-    return texts.select(key).join(best, key, "left").select(key, F.col("best.language").alias("language"), (-F.col("best.minus")).alias("score"))
+    known = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("gram")).join(weights, "gram")
+    scores = known.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    summed = words.join(scores, "word").groupBy(key).agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in columns])
+    best = F.array_min(F.array(*[F.struct((-F.col(c)).alias("minus"), F.lit(n).alias("language")) for c, n in zip(columns, names, strict=True)]))
+    found = summed.select(key, best.alias("best")).filter("best.minus < 0")
+    return texts.select(key).join(found, key, "left").select(key, F.col("best.language").alias("language"), (-F.col("best.minus")).alias("score"))
 
 
 def configured(language: Column) -> Column:
