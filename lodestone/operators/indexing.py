@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lodestone import config, storage
 from lodestone.operators import corpus, models
 from lodestone.sources.markdown import SourceSpec
+from lodestone.timing import measured
 
 KEY = ["corpus", "source"]
 DOCUMENT = "corpus string, source string, digest string"
@@ -57,6 +58,7 @@ class IndexResult:
     same: int
     gone: int
     embedded: int
+    elapsed: float = field(default=0.0, compare=False)
 
 
 def entry_of(spec: SourceSpec) -> Entry:
@@ -97,6 +99,7 @@ def digest_of() -> Column:
     return F.sha2(F.concat_ws("\x1f", *fields).cast("binary"), 256)
 
 
+@measured
 def build(documents: DataFrame, path: str, entries: list[Entry], embed: Callable[[Column], Column] | None = None, size: int = config.CHUNK_SIZE) -> IndexResult:
     """Bring the corpora named by ``entries`` to what ``documents`` holds of them. Others
     stay. An entry that the store has keeps whether it is active; its other fields are

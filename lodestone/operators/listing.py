@@ -15,7 +15,7 @@ MOST_ROWS = 1000
 
 @dataclass(frozen=True)
 class Page:
-    """A paging request: at most 1000 rows; an unknown sort key means the default."""
+    """A paging request: at most ``most`` rows; an unknown sort key means the default."""
 
     limit: int = 100
     offset: int = 0
@@ -23,10 +23,11 @@ class Page:
     sort_order: str = "desc"
     columns: dict[str, str] = field(default_factory=dict)
     default: str = "id"
+    most: int = MOST_ROWS
 
     def __post_init__(self):
-        if not 1 <= self.limit <= MOST_ROWS or self.offset < 0 or self.sort_order not in ("asc", "desc"):
-            raise ValueError("limit is 1 to 1000, offset 0 or more, order asc or desc")
+        if not 1 <= self.limit <= self.most or self.offset < 0 or self.sort_order not in ("asc", "desc"):
+            raise ValueError(f"limit is 1 to {self.most}, offset 0 or more, order asc or desc")
 
     @property
     def column(self) -> str:
@@ -40,6 +41,16 @@ def paged(rows: DataFrame, page: Page, tie: str = "id") -> DataFrame:
     return rows.orderBy(first, tie).offset(page.offset).limit(page.limit)
 
 
+def experiments_page(experiments: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """The latest experiments, at most 200."""
+    return paged(experiments, Page(limit, offset, most=200))
+
+
+def misses_page(misses: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The misses of a run in the order of their ids, at most 1000."""
+    return paged(misses, Page(limit, offset, sort_order="asc"))
+
+
 def substring(column: str, wanted: str) -> Column:
     """Case-insensitive; % and _ stay wild cards."""
     return F.col(column).ilike(f"%{wanted}%")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import storage
 from lodestone.functions import language, text
-from lodestone.operators import corpus, evals, listing, loglist, models, registry
+from lodestone.operators import checks, corpus, evals, listing, loglist, models, registry
 from lodestone.plans import base
 from lodestone.plans.catalog import query
 from lodestone.sources import questions
@@ -74,6 +74,20 @@ def p15_json_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "events").filter(listing.absent_or_below("props", "k", 3)).select("event_id")
 
 
+@query("p21_model_names", r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN 'hf.co/x/' || p_size WHEN 2 THEN 'other.co/x/' || p_size WHEN 3 THEN 'a//' || p_size WHEN 4 THEN lower(replace(p_type, ' ', '-')) || ':' || p_size ELSE 'a/b/c/' || p_size END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'model' ELSE 'k' END AS param, (p_size - 2)::VARCHAR AS value FROM part),
+e AS (SELECT *, regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9._/-]*(:[a-zA-Z0-9._-]+)?') AS good, string_split(name, '/') AS parts FROM n)
+SELECT p_partkey, CASE WHEN NOT good THEN 'name is invalid' WHEN list_contains(parts, '') OR len(parts) > 3 THEN 'invalid model name' WHEN len(parts) = 3 AND parts[1] NOT IN ('hf.co', 'registry.ollama.ai') THEN 'model registry host not allowed' END AS name_error,
+  CASE WHEN param = 'model' AND NOT good THEN 'invalid model names: ' || name WHEN param = 'k' AND value::INTEGER < 1 THEN 'k values must be positive integers' END AS values_error FROM e""")
+def p21_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with names and values that parts ask for."""
+    at, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    typed = F.concat(F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), F.lit(":"), size)
+    name = F.when(at == 0, F.col("p_brand")).when(at == 1, F.concat(F.lit("hf.co/x/"), size)).when(at == 2, F.concat(F.lit("other.co/x/"), size)).when(at == 3, F.concat(F.lit("a//"), size)).when(at == 4, typed).otherwise(F.concat(F.lit("a/b/c/"), size))
+    rows = base.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.when(F.col("p_partkey") % 2 == 0, "model").otherwise("k").alias("param"), (F.col("p_size") - 2).cast("string").alias("value"))
+    tried = F.when(F.col("param") == "model", F.array("name")).otherwise(F.array("value"))
+    return rows.select("p_partkey", checks.model_name_error(F.col("name")).alias("name_error"), checks.values_error(F.col("param"), tried).alias("values_error"))
+
+
 @query("l1_lookup", "SELECT * FROM customer WHERE c_custkey = 7")
 def l1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.lookup(base.table(spark, sf_dir, "customer"), "c_custkey", 7)

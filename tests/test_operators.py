@@ -3,14 +3,15 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from dataclasses import replace
+import time
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import config
-from lodestone.operators import corpus, evals, listing, loglist, models, registry, retrieval, stats
+from lodestone import config, timing
+from lodestone.operators import checks, corpus, evals, listing, loglist, models, registry, retrieval, stats
 from lodestone.sources import files, markdown, questions
 from lodestone.streaming import queue
 
@@ -247,6 +248,41 @@ def test_whole_configurations(tmp_path, monkeypatch):
             config.Settings.from_yaml(str(path))
 
 
+def test_request_checks(spark):
+    names = {"llama3.1:8b": None, "hf.co/a/b:q4": None, "HF.co/a/b": None, "evil.io/a/b": "model registry host not allowed", "a/b/c/d": "invalid model name", "a//b": "invalid model name", "a/../b": "invalid model name", "-x": "name is invalid", "x" * 129: "name has over 128 characters", None: "name is missing"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", checks.model_name_error(F.col("n")).alias("e")).collect()
+    assert {r.n: r.e for r in rows} == names
+    tried = [("k", ["1", "7"], None), ("k", ["0"], "k values must be positive integers"), ("k", ["x", "1"], "k values must be positive integers"), ("k", ["99999999999999999999"], "k values must be positive integers"), ("model", ["a:1", "b c"], "invalid model names: b c"), ("model", ["a"], None), ("k", [], "no values"), ("k", None, "no values"), ("model", [None], "invalid model names: null")]
+    frame = spark.createDataFrame([(i, p, v) for i, (p, v, _) in enumerate(tried)], "i int, p string, v array<string>")
+    got = {r.i: r.e for r in frame.select("i", checks.values_error(F.col("p"), F.col("v")).alias("e")).collect()}
+    assert got == {i: e for i, (_, _, e) in enumerate(tried)}
+    made = [("deep_wiki", "https://x/y", ["ask"], 30, 4000, None), ("Deep", "https://x", [], 30, 4000, "name is invalid"), ("d", "ftp://x", [], 30, 4000, "url is invalid"), ("d", "http://x", ["a b"], 30, 4000, "a tool is invalid"), ("d", "http://x", [], 0, 4000, "timeout_s is not 1 to 300"), ("d", "http://x", [], None, 99, "max_result_chars is not 100 to 100000")]
+    frame = spark.createDataFrame([(i, *m[:-1]) for i, m in enumerate(made)], "i int, n string, u string, a array<string>, t int, m int")
+    got = {r.i: r.e for r in frame.select("i", checks.integration_error(*map(F.col, "nuatm")).alias("e")).collect()}
+    assert got == {i: m[-1] for i, m in enumerate(made)}
+
+
+def test_fixed_pages(spark):
+    rows = spark.range(60)
+    assert [r.id for r in listing.experiments_page(rows, 2, 1).collect()] == [58, 57] and listing.experiments_page(rows).count() == 25
+    assert [r.id for r in listing.misses_page(rows, 2).collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        listing.experiments_page(rows, 201)
+
+
+def test_results_say_how_long_they_took():
+    @dataclass(frozen=True)
+    class Result:
+        elapsed: float = 0.0
+
+    @timing.measured
+    def slow():
+        time.sleep(0.02)
+        return Result()
+
+    assert 0.02 <= slow().elapsed < 5 and slow.__name__ == "slow"
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(1, "running", "")], "id int, status string, conclusion string")
     with pytest.raises(ValueError):
