@@ -170,7 +170,7 @@ def k14_created_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models_.filter("status = 'new'").join(named, "name").select("name", "status", "options")
 
 
-def _question_logs(spark, sf_dir):
+def question_logs(spark, sf_dir):
     """Assistants' turns as logs of the question that opens their conversation."""
     rows = base.table(spark, sf_dir, "conversations")
     turns = rows.groupBy("conv_id", "turn").agg(F.min_by("text", "text").alias("text"), F.min("role").alias("role"))
@@ -181,24 +181,24 @@ def _question_logs(spark, sf_dir):
     return logs, questions_
 
 
-_QUESTION_LOGS = """turns AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+QUESTION_LOGS = """turns AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
 lg AS (SELECT conv_id * 1000 + turn AS id, 'run' || (conv_id % 3) AS run_name, CASE WHEN turn % 2 = 0 THEN 'agent' ELSE 'single_shot' END AS pipeline, CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS question_id, length(text) > 200 AS answered, turn % 11 AS faithfulness, conv_id * 60 + turn AS at_ FROM turns WHERE turn > 0),
 qs AS (SELECT conv_id AS question_id, text AS question_text, 'set' || (conv_id % 2) AS set_name FROM turns WHERE turn = 0)"""
 
 
-@query("j5_question_logs", f"WITH {_QUESTION_LOGS} SELECT id, run_name, answered, sha256(question_text) AS question, set_name FROM lg LEFT JOIN qs USING (question_id)")
+@query("j5_question_logs", f"WITH {QUESTION_LOGS} SELECT id, run_name, answered, sha256(question_text) AS question, set_name FROM lg LEFT JOIN qs USING (question_id)")
 def j5_question_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log with its question, if it has one."""
-    return loglist.items(*_question_logs(spark, sf_dir)).select("id", "run_name", "answered", F.sha2(F.col("question_text").cast("binary"), 256).alias("question"), "set_name")
+    return loglist.items(*question_logs(spark, sf_dir)).select("id", "run_name", "answered", F.sha2(F.col("question_text").cast("binary"), 256).alias("question"), "set_name")
 
 
-@query("j4_filtered_logs", f"WITH {_QUESTION_LOGS} SELECT id, run_name, pipeline, set_name FROM lg JOIN qs USING (question_id) WHERE question_text ILIKE '%er%' AND set_name IN ('set0', 'set7') AND run_name IN ('run0', 'run2') AND answered AND faithfulness IN (1, 2, 3) AND at_ >= 600")
+@query("j4_filtered_logs", f"WITH {QUESTION_LOGS} SELECT id, run_name, pipeline, set_name FROM lg JOIN qs USING (question_id) WHERE question_text ILIKE '%er%' AND set_name IN ('set0', 'set7') AND run_name IN ('run0', 'run2') AND answered AND faithfulness IN (1, 2, 3) AND at_ >= 600")
 def j4_filtered_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inner join that filters on the question ask for."""
     from datetime import datetime
 
     wanted = loglist.LogFilter(text="ER", set_name=("set0", "set7"), run_name=("run0", "run2"), answered=True, faithfulness=("1", "2", "3"), created_from=datetime(2023, 11, 14, 22, 23, 20))
-    return loglist.items(*_question_logs(spark, sf_dir), wanted).select("id", "run_name", "pipeline", "set_name")
+    return loglist.items(*question_logs(spark, sf_dir), wanted).select("id", "run_name", "pipeline", "set_name")
 
 
 def _run_jobs(spark, sf_dir):

@@ -10,7 +10,7 @@ from lodestone.functions import text
 # What a prompt file's name says.
 PURPOSES = ("generate_answer", "agent_system", "judge_faithfulness", "judge_relevance", "judge_completeness", "paraphrase_question", "translate_question")
 PROMPT_FILE = r"^([a-z_]+)\.v(\d+)\.txt$"
-TSV_COLUMNS = ("question", "sources", "set_name", "language", "kind")
+TSV_COLUMNS = ("set_name", "language", "kind", "marked_sources", "original_text")
 
 
 def qa_pairs(documents: DataFrame) -> DataFrame:
@@ -40,23 +40,48 @@ def parse_import(rows: DataFrame) -> DataFrame:
     return hashed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("pos", "question", "marked_sources", "text_hash")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, at) of a file or of all files of a folder, blank lines left out; ``at`` sorts
+    as the lines stand. Large files are read in splits."""
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(F.col("value").alias("line"), where.alias("at")).filter(F.trim("line") != "")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(question, reference_answer, source); blank lines are skipped, and of repeated
-    questions the last line of the file counts."""
-    held = spark.read.text(path, wholetext=True).select(F.posexplode(lines_of(F.col("value"))).alias("n", "line")).filter(F.trim("line") != "")
-    rows = held.select("n", F.from_json("line", "question string, reference_answer string, source string").alias("r")).select("n", "r.*")
-    last = rows.groupBy("question").agg(F.max_by(F.struct("reference_answer", "source"), "n").alias("r"))
+    questions the last line counts."""
+    rows = _lines(spark, path).select("at", F.from_json("line", "question string, reference_answer string, source string").alias("r")).select("at", "r.*")
+    last = rows.groupBy("question").agg(F.max_by(F.struct("reference_answer", "source"), "at").alias("r"))
     return last.select("question", "r.*")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows by the header's names; quotes are plain, short rows end in nulls, blanks are
-    null, and ``sources`` is split at commas."""
-    held = spark.read.text(path, wholetext=True).select(F.posexplode(lines_of(F.col("value"))).alias("n", "line")).filter(F.trim("line") != "")
-    names = spark.read.text(path).first()[0].split("\t")
+    """Rows by the header's names, and ``at``, which sorts as they stand; quotes are plain,
+    short rows end in nulls, blanks are null, and ``marked_sources`` is split at commas. In
+    a folder every file begins with the same header."""
+    header = spark.read.text(path).first()[0]
+    names = header.split("\t")
     cells = F.split("line", "\t")
-    rows = held.filter("n > 0").select("n", *[F.nullif(F.get(cells, i), F.lit("")).alias(name) for i, name in enumerate(names)])
-    return rows.withColumn("sources", F.coalesce(F.filter(F.split("sources", ","), lambda s: s != ""), F.array().cast("array<string>"))) if "sources" in names else rows
+    rows = _lines(spark, path).filter(F.col("line") != header).select("at", *[F.nullif(F.get(cells, i), F.lit("")).alias(name) for i, name in enumerate(names)])
+    listed = F.coalesce(F.filter(F.split("marked_sources", ","), lambda s: s != ""), F.array().cast("array<string>"))
+    return rows.withColumn("marked_sources", listed) if "marked_sources" in names else rows
+
+
+def question_rows(dataset: DataFrame, answers: DataFrame) -> DataFrame:
+    """(text_hash, original_text, set_name, language, kind, marked_sources,
+    reference_answer): the first of equal questions of read_tsv(), with the answers
+    (question, reference_answer) of the same text."""
+    own = ("original_text", "set_name", "language", "kind", "marked_sources")
+    hashed = dataset.withColumn("text_hash", text.text_hash(F.col("original_text")))
+    first = hashed.groupBy("text_hash").agg(F.min_by(F.struct(*own), "at").alias("r")).select("text_hash", "r.*")
+    named = with_answers(first.withColumnRenamed("original_text", "question"), answers)
+    return named.withColumnRenamed("question", "original_text").select("text_hash", *own, "reference_answer")
+
+
+def dataset_rows(answers: DataFrame) -> DataFrame:
+    """TSV_COLUMNS of the interview answers (question, reference_answer, source)."""
+    marked = F.array_compact(F.array(F.nullif("source", F.lit(""))))
+    return answers.select(F.lit("interview").alias("set_name"), F.lit("eng").alias("language"), F.lit("in_corpus").alias("kind"), marked.alias("marked_sources"), F.col("question").alias("original_text"))
 
 
 def with_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -73,10 +98,13 @@ def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """One JSON object a line, nulls as null."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
-    """TSV_COLUMNS as lines, lists joined by commas."""
-    cells = [F.array_join(c, ",") if c == "sources" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TSV_COLUMNS]
-    rows.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+    """TSV_COLUMNS under a header, lists joined by commas, nulls empty, nothing quoted."""
+    cells = [F.array_join(c, ",") if c == "marked_sources" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TSV_COLUMNS]
+    line = F.concat_ws("\t", *cells)
+    plain = {"header": "true", "sep": "\x01", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.select(line.alias("\t".join(TSV_COLUMNS))).write.mode("overwrite").options(**plain).csv(path)

@@ -304,9 +304,22 @@ def test_question_import(spark):
 def test_question_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"question":"q","reference_answer":"old"}\n\n{"question":"q","reference_answer":"new","source":"s"}\n')
     assert [(r.question, r.reference_answer) for r in questions.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()] == [("q", "new")]
-    (tmp_path / "b.tsv").write_text('question\tsources\tset_name\n"q"\ta,b\ts\nq2\n')
-    rows = {r.question: r for r in questions.read_tsv(spark, str(tmp_path / "b.tsv")).collect()}
-    assert rows['"q"'].sources == ["a", "b"] and rows["q2"].sources == [] and rows["q2"].set_name is None
+    (tmp_path / "b.tsv").write_text('set_name\tlanguage\tkind\tmarked_sources\toriginal_text\ns\teng\t\ta,,b\t"q"\n\nt\t\tk\t\tq2\nlate\t\t\tc\t"q"\nshort\n')
+    read = questions.read_tsv(spark, str(tmp_path / "b.tsv"))
+    rows = {r.set_name: r for r in read.collect()}
+    assert rows["s"].marked_sources == ["a", "b"] and rows["s"].kind is None and rows["t"].marked_sources == [] and rows["short"].original_text is None
+    made = {r.original_text: r for r in questions.question_rows(read.filter("original_text is not null"), spark.createDataFrame([("q2", "ref")], "question string, reference_answer string")).collect()}
+    assert made['"q"'].set_name == "s" and made["q2"].reference_answer == "ref" and len(made) == 2
+
+
+def test_datasets_are_written_and_read_back(spark, tmp_path):
+    answers = spark.createDataFrame([("a 'b' \"c\" \\\\d", "x", "s.md"), (" padded ", None, None), ("é, #", "y", "")], "question string, reference_answer string, source string")
+    questions.write_jsonl(answers.repartition(2), str(tmp_path / "j"))
+    back = questions.read_jsonl(spark, str(tmp_path / "j"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, answers.collect()), key=str)
+    questions.write_tsv(questions.dataset_rows(answers).repartition(2), str(tmp_path / "t"))
+    got = {r.original_text: (r.set_name, r.language, r.kind, r.marked_sources) for r in questions.read_tsv(spark, str(tmp_path / "t")).collect()}
+    assert got == {r.question: ("interview", "eng", "in_corpus", [r.source] if r.source else []) for r in answers.collect()}
 
 
 def test_readme_pairs(spark):
