@@ -196,3 +196,22 @@ def test_examples_and_their_way_back(spark, fim, spm):
         assert (r.fim.n, r.fim.form, r.fim.prefix, r.fim.middle, r.fim.output) == example(r.doc_id, r.text, fim, spm)
         assert r.back == (r.text or "")
     assert fillmiddle.transform(frame.limit(0), "doc_id", "text").count() == 0
+
+
+# ---- twins ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op5_ngram_jaccard_join", "op11_filter_audit", "op13_fill_in_middle"])
+def test_queries_equal_their_twins(spark, sf_dir, name):
+    import duckdb
+
+    from lodestone.llm import catalog
+
+    con = duckdb.connect()
+    for table in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{sf_dir}/{table}.parquet'")
+    frame, twin = catalog.QUERIES[name](spark, sf_dir), con.sql(catalog.ORACLES[name])
+    columns = sorted(frame.columns)
+    assert columns == sorted(twin.columns)
+    at = [twin.columns.index(c) for c in columns]
+    assert sorted(map(str, ([r[c] for c in columns] for r in frame.collect()))) == sorted(map(str, ([r[i] for i in at] for r in twin.fetchall())))
