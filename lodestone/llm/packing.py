@@ -34,7 +34,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LAYOUT = f"{PIECES}, sequence_id long, offset long"
 _BINS = "level int, task int, fill int, members binary"
 #: Text encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: One packed piece; ``has`` is 0 for a null doc_id.
 _PIECE = np.dtype([("doc_id", "<i8"), ("has", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
