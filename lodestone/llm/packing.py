@@ -16,6 +16,7 @@ ids kept, rows that agree in all columns have one set of ids.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import re
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bytescan, shared
@@ -33,8 +34,8 @@ from lodestone.llm import bytescan, shared
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LAYOUT = f"{PIECES}, sequence_id long, offset long"
 _BINS = "level int, task int, fill int, members binary"
-#: Text encoded at once.
-BATCH_BYTES = 2 << 20
+#: Text encoded at once, and rows that a task hands to its Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 512 << 10, 1000
 #: One packed piece; ``has`` is 0 for a null doc_id.
 _PIECE = np.dtype([("doc_id", "<i8"), ("has", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
@@ -102,7 +103,7 @@ class Encoder:
     each distinct unit of the batch is encoded or looked up once, and the ids of the texts
     are gathered from there. At most ``most`` units are kept for later batches."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -324,6 +325,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS, as texts in them are held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 2, max_tokens: int = 1024, full_at: int | None = None, block: int = 16_384, keep_ids: bool = False) -> DataFrame:
     """Lay all documents out in sequences of at most ``max_tokens`` ids.
 
@@ -333,7 +346,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, max_tokens: int = 1024, fu
     LAYOUT, a row for each piece, and with ``keep_ids`` the ids themselves.
     """
     full_at = full_at or max_tokens - max_tokens // 128
-    cutup = shared.cut(pieces(docs, path, end_id, max_tokens, keep_ids), "pieces")
+    with _small_batches(docs.sparkSession):
+        cutup = shared.cut(pieces(docs, path, end_id, max_tokens, keep_ids), "pieces")
     whole = cutup.filter(F.col("length") == max_tokens).select(*LAYOUT_NAMES[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cutup.filter(F.col("length") < max_tokens).select(*LAYOUT_NAMES[:5])
     bins = shared.cut(rest.mapInArrow(_leaves(max_tokens, block), _BINS), "bins-0")

@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import linededup
+from lodestone.llm import linededup, packing, shared
+from lodestone.llm.q10_packing import tokenizer_path
 
 
 def words(rng, n):
@@ -55,3 +56,17 @@ def test_typing_errors_in_rare_and_in_many_words(spark):
     got = {r.key: r.group for r in linededup.groups(spark.createDataFrame(rows, "key long, norm string"), 0.8).collect()}
     found = [2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(300)]
     assert sum(found[:150]) >= 0.95 * 150 and sum(found[150:]) >= 0.95 * 150
+
+
+def test_packing_hands_few_rows_to_a_worker_at_once(spark, monkeypatch):
+    name, seen, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, shared.cut
+
+    def noted(df, what):
+        seen[what] = int(spark.conf.get(name))
+        return cut(df, what)
+
+    monkeypatch.setattr(shared, "cut", noted)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    assert packing.pack(docs, tokenizer_path(), end_id=2, max_tokens=64).count() == 30
+    assert seen["pieces"] <= 1000 and spark.conf.get(name) == before
