@@ -208,12 +208,30 @@ def load(spark: SparkSession, path: str) -> SearchIndex:
     )
 
 
+def _cells_by_nearness(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cells of each vector from the nearest on, a row a vector."""
+    return np.argsort(-(v @ centroids.T), axis=1, kind="stable")
+
+
 def cell_ranks(index: SearchIndex, queries: DataFrame, k: int) -> DataFrame:
     """(rank, n): how many of the k true nearest vectors of the queries lie in the cell
     that is the rank-th nearest to their query, from 1. One exact scan."""
+    centroids = index.centroids
     true = blocks.nearest(index.vectors, queries, k).select("query_id", "id").join(index.vectors.select("id", "cell"), "id")
-    placed = _dealt(index, queries.select("query_id", "query_embedding"), len(index.centroids)).select("query_id", "cell", "rank")
-    return true.join(placed, ["query_id", "cell"]).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    held = true.groupBy("query_id").agg(F.collect_list("cell").alias("cells"))  # k a query
+    asked = held.join(queries.select("query_id", "query_embedding"), "query_id").select("query_embedding", "cells")
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(i, blocks.ROWS) for i in range(0, batch.num_rows, blocks.ROWS)):
+                order = _cells_by_nearness(blocks.matrix(some.column("query_embedding"), centroids.shape[1]), centroids)
+                rank = np.empty_like(order)
+                np.put_along_axis(rank, order, np.arange(1, order.shape[1] + 1)[None, :], 1)
+                cells = some.column("cells")
+                query = np.repeat(np.arange(some.num_rows), cells.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(rank[query, cells.flatten().to_numpy()].astype(np.int32))], names=["rank"])
+
+    return asked.mapInArrow(ranked, "rank int").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 def calibrated(index: SearchIndex, queries: DataFrame, k: int, target: float = 0.95) -> tuple[int, float]:
@@ -228,30 +246,15 @@ def calibrated(index: SearchIndex, queries: DataFrame, k: int, target: float = 0
     return max(1, len(index.centroids)), 1.0
 
 
-def _dealt(index: SearchIndex, asked: DataFrame, probes: int) -> DataFrame:
-    """Queries with their nearest cells and the cells' ranks, a row a cell."""
+def probed_nearest(index: SearchIndex, queries: DataFrame, k: int, probes: int, most: float = 2.0) -> DataFrame:
+    """blocks.nearest() where each query reads its ``probes`` nearest cells."""
     centroids = index.centroids
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = blocks.matrix(batch.column("query_embedding"), centroids.shape[1])
-                cells = np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(len(v)), cells.shape[1]))
-                rank = np.tile(np.arange(1, cells.shape[1] + 1, dtype=np.int32), len(v))
-                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(cells.ravel().astype(np.int32)), pa.array(rank)], names=["query_id", "query_embedding", "cell", "rank"])
-
-    return asked.filter("query_embedding is not null").mapInArrow(dealt, f"query_id long, query_embedding {asked.schema['query_embedding'].dataType.simpleString()}, cell int, rank int")
-
+    def reading(asked: np.ndarray) -> np.ndarray:
+        read = np.zeros((len(centroids), len(asked)), bool)
+        for i in range(0, len(asked), blocks.ROWS):
+            cells = _cells_by_nearness(asked[i : i + blocks.ROWS], centroids)[:, :probes]
+            read[cells, np.arange(i, i + len(cells))[:, None]] = True
+        return read
 
-def probed_nearest(index: SearchIndex, queries: DataFrame, k: int, probes: int, most: float = 2.0) -> DataFrame:
-    """blocks.nearest() where each query reads its ``probes`` nearest cells: queries are
-    dealt to cells and meet the vectors there by an equi join on the cell."""
-    asked = queries.select("query_id", "query_embedding")
-    if not len(index.centroids):
-        return blocks.nearest(index.vectors, asked, k, most)
-    pairs = index.vectors.select("cell", "id", "embedding", "norm").join(_dealt(index, asked, probes).drop("rank"), "cell")
-    distance = F.round(1 - vector.dot(F.col("embedding"), F.col("query_embedding")) / (F.col("norm") * vector.norm(F.col("query_embedding"))), 9) + F.lit(0.0)
-    near = pairs.select("query_id", "id", distance.alias("vector_distance")).filter(F.col("vector_distance") <= most)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("vector_distance", "id"))
-    return near.withColumn("vector_rank", place).filter(F.col("vector_rank") <= k)
+    return blocks.nearest(index.vectors, queries, k, most, reading=reading if len(centroids) else None)

@@ -171,6 +171,38 @@ def test_few_cells_hold_the_nearest(built):
     assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_probed_vectors_meet_queries_in_blocks(built):
+    """Pairs of a query and a vector are never rows, and what is found equals a plain scan
+    of the cells."""
+    chunks, index = built
+    asked = chunks.filter("id % 20 = 1 and embedding is not null").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = searchindex.probed_nearest(index, asked, 10, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    held = [(r.cell, r.id, np.array(r.embedding, float)) for r in index.vectors.collect()]
+    want = set()
+    for q in asked.collect():
+        v = np.array(q.query_embedding, float)
+        near = set(np.argsort(-(index.centroids @ v), kind="stable")[:3].tolist())
+        far = sorted((round(1 - float(e @ v) / float(np.linalg.norm(e) * np.linalg.norm(v)), 9), i) for c, i, e in held if c in near)[:10]
+        want |= {(q.query_id, i) for _, i in far}
+    assert {(r.query_id, r.id) for r in found.collect()} == want
+
+
+def test_blocked_neighbours_keep_ties_by_id(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, size=(3000, 3)).astype(float)  # few directions, many ties, some zeros
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").coalesce(2)
+    queries = vectors.filter("id < 40 and array_max(transform(embedding, x -> abs(x))) > 0").selectExpr("id AS query_id", "embedding AS query_embedding")
+    got = {(r.query_id, r.vector_rank, r.id) for r in blocks.nearest(vectors, queries, 7, 0.5).collect()}
+    want = set()
+    for q in queries.collect():
+        a = np.array(q.query_embedding)
+        sized = [(i, x) for i, x in enumerate(v) if np.linalg.norm(x)]
+        near = sorted((round(1 - float(x @ a) / float(np.linalg.norm(x) * np.linalg.norm(a)), 9) + 0.0, i) for i, x in sized)
+        want |= {(q.query_id, n, i) for n, (d, i) in enumerate(near[:7], 1) if d <= 0.5}
+    assert got == want and len(want) > 200
+
+
 def test_many_questions_equal_one_at_a_time(spark, sf_dir):
     index, cfg = base.index(spark, sf_dir), q_retrieval.CFG
     words = [["ti", "er"], ["en"], ["er", "nowhere"], []]
