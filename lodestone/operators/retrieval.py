@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config, storage
 from lodestone.config import SearchConfig
-from lodestone.functions import blocks, language, ranking, text, vector
+from lodestone.functions import blocks, keymap, language, ranking, text, vector
 from lodestone.functions.numeric import exact_round
 from lodestone.operators.searchindex import SearchIndex
 
@@ -78,17 +78,23 @@ def hybrid_search(index: SearchIndex, query, wanted: list[str], cfg: SearchConfi
     return index.chunks.select("id", "content", "source", "category", "chunk_index").join(F.broadcast(best), "id")  # a handful of rows
 
 
-def matches_of_many(postings: DataFrame, words: DataFrame) -> DataFrame:
+def matches_of_many(postings: DataFrame, words: DataFrame, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, id, n, hits) of the chunks that hold every lexeme of a question, from
-    (query_id, lexeme). Candidates come from each question's rarest lexeme only; the other
-    lexemes are looked up for them by lexeme and id, so that frequent ones cost no more
-    than the candidates."""
-    asked = words.select("lexeme").distinct()
-    rare = postings.join(asked, "lexeme").groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    (query_id, lexeme). Candidates come from each question's rarest lexeme only, and
+    ``allowed`` leaves out some of these by their postings; the other lexemes are looked up
+    for them by lexeme and id, so that frequent ones cost no more than the candidates.
+    Postings that none of them can meet aren't shuffled."""
+    words = storage.cut(words, "words")
+    rare = keymap.possible(postings.select("lexeme"), words, "lexeme").groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
     sized = words.join(rare, "lexeme", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "lexeme")).alias("rarest"))
-    seeds = sized.filter("rarest.df > 0").select("query_id", "needed", F.col("rarest.lexeme").alias("lexeme"))
-    candidates = postings.select("lexeme", "id").join(seeds, "lexeme").select("query_id", "needed", "id")
-    found = candidates.join(words, "query_id").join(postings.select("lexeme", "id", "places"), ["lexeme", "id"])
+    seeds = storage.cut(sized.filter("rarest.df > 0").select("query_id", "needed", F.col("rarest.lexeme").alias("lexeme")), "seeds")
+    candidates = storage.cut(keymap.possible(postings.drop("places"), seeds, "lexeme").join(seeds, "lexeme"), "candidates")
+    if allowed:  # after a cut, as Spark would look at the sources of all postings first
+        candidates = storage.cut(allowed(candidates), "candidates")
+    candidates = candidates.select("query_id", "needed", "id")
+    wanted = candidates.join(words, "query_id")
+    held = keymap.possible(postings.select("lexeme", "id", "places"), candidates, "id")
+    found = wanted.join(keymap.possible(held, wanted, "lexeme", "id"), ["lexeme", "id"])
     return found.groupBy("query_id", "id").agg(F.first("needed").alias("needed"), F.count(F.lit(1)).alias("n"), _hits(F.col("lexeme")).alias("hits")).filter("n = needed").drop("needed")
 
 
@@ -98,14 +104,14 @@ def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = Se
     questions with all vectors, the keyword leg joins posting lists."""
     vectors = blocks.nearest(eligible(index.vectors, index, active_sources), questions, cfg.limit_vector, cfg.distance_threshold)
     words = questions.select("query_id", F.explode(F.array_distinct("query_lexemes")).alias("lexeme")).filter("lexeme <> ''")
-    matched = matches_of_many(eligible(index.postings, index, active_sources), words)
+    matched = matches_of_many(index.postings, words, lambda rows: eligible(rows, index, active_sources))
     scored = matched.select("query_id", "id", ranking.ts_rank(F.col("hits"), F.col("n")).alias("keyword_score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "id")
     keywords = scored.withColumn("keyword_rank", F.row_number().over(by_score)).filter(F.col("keyword_rank") <= cfg.limit_keywords)
     fused = fuse(vectors, keywords, cfg, ("query_id",))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.limit)
-    return top.join(index.chunks.select("id", "source", "category"), "id")
+    top = storage.cut(fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.limit), "found")
+    return top.join(keymap.possible(index.chunks.select("id", "source", "category"), top, "id"), "id")
 
 
 def search_questions(index: SearchIndex, questions: DataFrame, embed: Callable[[Column], Column], cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:

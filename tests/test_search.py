@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import config, storage
-from lodestone.functions import blocks, language, ranking, stemming, text
+from lodestone.functions import blocks, keymap, language, ranking, stemming, text
 from lodestone.operators import retrieval, searchindex
 from lodestone.plans import base, q_retrieval
 
@@ -213,6 +213,46 @@ def test_many_questions_equal_one_at_a_time(spark, sf_dir):
     assert got == want and len(got) == 15
 
 
+def _shuffled(spark, run):
+    """The rows of the shuffles that ``run`` writes, a number a stage."""
+
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return [n for key, n in stages().items() if key not in before]
+
+
+def test_many_questions_shuffle_no_posting_list(spark, sf_dir):
+    """Only postings that a question's candidates can meet are shuffled, and chunks that
+    are among the results."""
+    index, cfg = base.index(spark, sf_dir), q_retrieval.CFG
+    active = base.active_sources(spark, sf_dir)
+    rare = [r.lexeme for r in index.postings.groupBy("lexeme").count().filter("count between 2 and 3").orderBy("lexeme").limit(2).collect()]
+    vector = base.query_vector(spark, sf_dir)
+    asked = spark.createDataFrame([(i, vector, [w, "er"]) for i, w in enumerate(rare)], "query_id long, query_embedding array<float>, query_lexemes array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        written = _shuffled(spark, lambda: retrieval.search_many(index, asked, cfg, active).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(written) < index.postings.count() / 20
+
+
+def test_a_key_map_lets_every_key_through(spark, monkeypatch):
+    rows = spark.range(5000).select("id", F.col("id").cast("string").alias("name"))
+    keys = rows.filter("id % 100 = 7")
+    want = {r.id for r in keys.collect()}
+    got = {r.id for r in keymap.possible(rows, keys, "id", "name").collect()}
+    assert want <= got and len(got) < 60 and keymap.possible(rows, keys.limit(0), "id").count() == 0
+    monkeypatch.setattr(keymap, "BITS", 7)  # a map that is too small lets more through, never less
+    few = {r.id for r in keymap.possible(rows, keys, "id").collect()}
+    assert want <= few and len(few) > 200 and keymap.possible(rows, keys, "id").columns == ["id", "name"]
+
+
 def test_an_index_of_nothing(spark):
     chunks = spark.createDataFrame([], "id long, source string, content string, embedding array<float>, category string, language string, chunk_index int")
     path = storage.fresh(spark, "index")
