@@ -98,10 +98,11 @@ def matches_of_many(postings: DataFrame, words: DataFrame, allowed: Callable[[Da
     return found.groupBy("query_id", "id").agg(F.first("needed").alias("needed"), F.count(F.lit(1)).alias("n"), _hits(F.col("lexeme")).alias("hits")).filter("n = needed").drop("needed")
 
 
-def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None) -> DataFrame:
+def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, columns: tuple[str, ...] = ("source", "category")) -> DataFrame:
     """hybrid_search() for a table of questions (query_id, query_embedding,
-    query_lexemes): one job for a whole evaluation. The vector leg compares blocks of
-    questions with all vectors, the keyword leg joins posting lists."""
+    query_lexemes), with these columns of the chunks: one job for a whole evaluation. The
+    vector leg compares blocks of questions with all vectors, the keyword leg joins posting
+    lists."""
     vectors = blocks.nearest(eligible(index.vectors, index, active_sources), questions, cfg.limit_vector, cfg.distance_threshold)
     words = questions.select("query_id", F.explode(F.array_distinct("query_lexemes")).alias("lexeme")).filter("lexeme <> ''")
     matched = matches_of_many(index.postings, words, lambda rows: eligible(rows, index, active_sources))
@@ -111,7 +112,7 @@ def search_many(index: SearchIndex, questions: DataFrame, cfg: SearchConfig = Se
     fused = fuse(vectors, keywords, cfg, ("query_id",))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = storage.cut(fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.limit), "found")
-    return top.join(keymap.possible(index.chunks.select("id", "source", "category"), top, "id"), "id")
+    return top.join(keymap.possible(index.chunks.select("id", *columns), top, "id"), "id")
 
 
 def search_questions(index: SearchIndex, questions: DataFrame, embed: Callable[[Column], Column], cfg: SearchConfig = SearchConfig(), active_sources: DataFrame | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def search_questions(index: SearchIndex, questions: DataFrame, embed: Callable[[
     ready = asked.select("query_id", "question", embed(F.col("question")).alias("query_embedding"), text.lexemes(F.col("question"), F.col("configuration")).alias("query_lexemes"))
     ready = storage.cut(ready, "questions")  # a question is embedded once
     wide = replace(cfg, limit=cfg.candidates) if score else cfg
-    found = search_many(index, ready, wide, active_sources).join(index.chunks.select("id", "content"), "id")
+    found = search_many(index, ready, wide, active_sources, ("source", "category", "content"))
     if score is None:
         return found
     scored = rerank(found.join(ready.select("query_id", "question"), "query_id"), score(F.col("question"), F.col("content")), cfg.limit, ("query_id",), ("rank",))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config, storage
 from lodestone.functions import blocks, keymap, language, ranking, stemming, text
-from lodestone.operators import retrieval, searchindex
+from lodestone.operators import models, retrieval, searchindex
 from lodestone.plans import base, q_retrieval
 
 # Words and stems of the published English and Russian vocabularies.
@@ -242,6 +242,16 @@ def test_many_questions_shuffle_no_posting_list(spark, sf_dir):
     assert max(written) < index.postings.count() / 20
 
 
+def test_the_contents_of_other_chunks_are_not_shuffled(spark, sf_dir, monkeypatch):
+    index, cfg = base.index(spark, sf_dir), config.SearchConfig(distance_threshold=2.0, limit=1)
+    looked = []
+    monkeypatch.setattr(keymap, "possible", lambda rows, keys, *on, f=keymap.possible: looked.append((rows.columns, f(rows, keys, *on), keys)) or looked[-1][1])
+    asked = spark.createDataFrame([(1, "er ti")], "query_id long, question string")
+    found = retrieval.search_questions(index, asked, models.embedder(), cfg).collect()
+    (near, keys), = [(near, keys) for columns, near, keys in looked if "content" in columns]
+    assert len(found) == keys.count() == near.count() == 1
+
+
 def test_a_key_map_lets_every_key_through(spark, monkeypatch):
     rows = spark.range(5000).select("id", F.col("id").cast("string").alias("name"))
     keys = rows.filter("id % 100 = 7")
